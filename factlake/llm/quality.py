@@ -63,7 +63,7 @@ class CumulativeLink:
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, keep: int = KEEP, penalty: float = 0.3, steps: int = 150) -> CumulativeLink:
-    """Fit by accelerated gradient descent on the penalised likelihood, the grades weighted to count alike.
+    """Fit by accelerated gradient descent on the penalised likelihood.
 
     The ``keep`` features whose frequency differs most between the grades are used. Without rows, or with one grade only,
     all weights are 0 and the thresholds follow the (smoothed) shares of the grades.
@@ -84,16 +84,14 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, keep: int = KEEP, penalty: f
         if 0 < m < n:
             own = np.bincount(col[y[row] == g], minlength=BUCKETS)
             p = (seen + 1) / (n + 2)
-            z = np.maximum(z, np.abs(own / m - (seen - own) / (n - m)) / np.sqrt(p * (1 - p) * (1 / m + 1 / (n - m))) * (seen >= 3))
-    top = np.flatnonzero(z > 3)
+            z = np.maximum(z, np.abs(own / m - (seen - own) / (n - m)) / np.sqrt(p * (1 - p) * (1 / m + 1 / (n - m))) * (seen >= 4))
+    top = np.flatnonzero(z > 4)
     top = top[np.argsort(-z[top], kind="stable")][:keep]
     if not len(top):
         return none
     index[top] = np.arange(len(top))
     here = index[col] >= 0
     row, col = row[here], index[col[here]]
-    weight = 1 / np.maximum(np.bincount(y, minlength=GRADES), 1)[y]
-    weight *= n / weight.sum()
     w, theta = np.zeros(len(top)), np.linspace(-1, 1, GRADES - 1)
     vw, vt, mw, mt = np.zeros_like(w), np.zeros_like(theta), np.zeros_like(w), np.zeros_like(theta)
     for step in range(1, steps + 1):
@@ -102,9 +100,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, keep: int = KEEP, penalty: f
         up, down = low[np.arange(n), y + 1], low[np.arange(n), y]
         p = np.maximum(up - down, 1e-9)
         du, dd = up * (1 - up), down * (1 - down)
-        gx = weight * (du - dd) / p
+        gx = (du - dd) / p
         gw = np.bincount(col, weights=gx[row], minlength=len(top)) + penalty * w
-        gt = np.array([-(weight * ((y == k) * du - (y == k + 1) * dd) / p).sum() for k in range(GRADES - 1)])
+        gt = np.array([-(((y == k) * du - (y == k + 1) * dd) / p).sum() for k in range(GRADES - 1)])
         mw, mt = 0.9 * mw + 0.1 * gw, 0.9 * mt + 0.1 * gt
         vw, vt = 0.99 * vw + 0.01 * gw**2, 0.99 * vt + 0.01 * gt**2
         rate = 0.1 * min(1, 2 * (1 - step / (steps + 1)))
