@@ -8,7 +8,8 @@ sends one marker, so a key that a third of all rows hold costs a marker a worker
 from __future__ import annotations
 
 import gc
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 #: A key, the row (document) that has it, and a number that goes with them.
 ENTRY = np.dtype([("key", "<u8"), ("row", "<i8"), ("at", "<u4")])
-#: An answer: the row, its number, the key, and whether the key is frequent.
+#: An answer: the row and its number; with the key, and whether the key is frequent.
+PLACE = np.dtype([("row", "<i8"), ("at", "<u4")])
 REPLY = np.dtype([("row", "<i8"), ("at", "<u4"), ("key", "<u8"), ("often", "u1")])
 #: Marks an entry that stands for many; no row has this number.
 MARKER = -1
@@ -26,15 +28,17 @@ BLOCKS, GROUPED = "bucket long, kind int, block binary", pa.schema([("bucket", p
 GATHER = 1_000_000
 
 
-def buckets(spark: SparkSession, each: int = 4) -> int:
-    """Buckets to deal keys and rows into: odd, and some for each shuffle partition."""
+def buckets(spark: SparkSession, each: int) -> int:
+    """Buckets to deal keys and rows into: odd, and about ``each`` for every shuffle partition."""
     return each * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that no DataFrame refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete shuffle files that no DataFrame refers to any more; without this they stay until the driver happens to collect garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -57,6 +61,25 @@ def batches_of(parts: list[tuple[int, int, bytes]], most: int = 4 << 20) -> Iter
             lo, size = hi, 0
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Records by field, rows and numbers as differences: in their order these shrink to little when the shuffle compresses them."""
+    return b"".join((np.diff(x[f], prepend=x[f].dtype.type(0)) if f in ("row", "at") else np.ascontiguousarray(x[f])).tobytes() for f in x.dtype.names)
+
+
+def unpack(blocks: list[bytes], dtype: np.dtype) -> np.ndarray:
+    """All records of blocks."""
+    sizes = [len(b) // dtype.itemsize for b in blocks]
+    out, lo = np.empty(sum(sizes), dtype), 0
+    for b, n in zip(blocks, sizes, strict=True):
+        at = 0
+        for f in dtype.names:
+            own = np.frombuffer(b, dtype[f], n, at)
+            out[f][lo : lo + n] = np.cumsum(own, dtype=dtype[f]) if f in ("row", "at") else own
+            at += n * dtype[f].itemsize
+        lo += n
+    return out
+
+
 def cut_by(where: np.ndarray, data: np.ndarray, kind: int) -> list[tuple[int, int, bytes]]:
     """Blocks of ``data`` by bucket, in order within a bucket."""
     if not len(where):
@@ -64,7 +87,7 @@ def cut_by(where: np.ndarray, data: np.ndarray, kind: int) -> list[tuple[int, in
     order = np.argsort(where, kind="stable")
     where, data = where[order], data[order]
     first = np.flatnonzero(np.diff(where, prepend=-1))
-    return [(int(where[a]), kind, data[a:b].tobytes()) for a, b in zip(first, np.append(first[1:], len(where)), strict=True)]
+    return [(int(where[a]), kind, pack(data[a:b])) for a, b in zip(first, np.append(first[1:], len(where)), strict=True)]
 
 
 def key_bucket(keys: np.ndarray, n: int) -> np.ndarray:
@@ -79,49 +102,48 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, first, np.diff(np.append(first, len(k)))
 
 
-def send(entries: np.ndarray, n: int, local: int) -> Iterator[pa.RecordBatch]:
+def send(entries: np.ndarray, n: int, local: int, kind: np.dtype = PLACE) -> Iterator[pa.RecordBatch]:
     """Blocks for the reducers (kind 0) and, for keys that these entries hold ``local`` times or more, answers (kind 1)."""
     if not len(entries):
         return
     order, first, count = runs(entries["key"])
-    sorted_ = entries[order]
-    often = np.repeat(count >= local, count)
+    often = np.empty(len(entries), bool)
+    often[order] = np.repeat(count >= local, count)
     markers = np.zeros(int((count >= local).sum()), ENTRY)
-    markers["key"], markers["row"], markers["at"] = sorted_["key"][first[count >= local]], MARKER, np.minimum(count[count >= local], 1 << 30)
-    single = np.concatenate([sorted_[~often], markers])
+    markers["key"], markers["row"] = entries["key"][order[first[count >= local]]], MARKER
+    single = np.concatenate([entries[~often], markers])
     parts = cut_by(key_bucket(single["key"], n), single, 0)
     if often.any():
-        known = np.empty(int(often.sum()), REPLY)
-        for f in ("row", "at", "key"):
-            known[f] = sorted_[f][often]
-        known["often"] = 1
+        known = np.ones(int(often.sum()), kind)
+        for f in set(kind.names) & set(ENTRY.names):
+            known[f] = entries[f][often]
         parts += cut_by(known["row"] % n, known, 1)
     yield from batches_of(parts)
 
 
-def answer(entries: np.ndarray) -> np.ndarray:
+def answer(entries: np.ndarray, kind: np.dtype) -> np.ndarray:
     """Answers for the entries whose key occurs again or has a marker; ``often`` is set where it has one."""
     order, first, count = runs(entries["key"])
-    sorted_ = entries[order]
-    marked = np.logical_or.reduceat(sorted_["row"] == MARKER, first) if len(first) else np.empty(0, bool)
-    keep = np.repeat((count > 1) | marked, count) & (sorted_["row"] != MARKER)
-    out = np.empty(int(keep.sum()), REPLY)
-    for f in ("row", "at", "key"):
-        out[f] = sorted_[f][keep]
-    out["often"] = np.repeat(marked, count)[keep]
+    marked = np.logical_or.reduceat(entries["row"][order] == MARKER, first) if len(first) else np.empty(0, bool)
+    found, often = np.empty(len(entries), bool), np.empty(len(entries), bool)
+    found[order], often[order] = np.repeat((count > 1) | marked, count), np.repeat(marked, count)
+    found &= entries["row"] != MARKER
+    out = np.empty(int(found.sum()), kind)
+    for f in kind.names:
+        out[f] = often[found] if f == "often" else entries[f][found]
     return out
 
 
-def repeated(sent: DataFrame, n: int, reply: Callable[[np.ndarray], np.ndarray] = answer) -> DataFrame:
-    """From blocks made by :func:`send`, blocks of answers dealt by row: ``bucket, kind, block`` (of ``REPLY``)."""
+def repeated(sent: DataFrame, n: int, kind: np.dtype = PLACE) -> DataFrame:
+    """From blocks made by :func:`send`, blocks of answers dealt by row: ``bucket, kind, block``."""
 
     def run(key: tuple, groups: pa.Table) -> pa.Table:
         kinds, blocks = groups.column("kind").to_numpy(), groups.column("block").to_pylist()
         parts = [(key[0].as_py(), 1, x) for k, x in zip(kinds, blocks, strict=True) if k == 1]
-        own = b"".join(x for k, x in zip(kinds, blocks, strict=True) if k == 0)
+        own = unpack([x for k, x in zip(kinds, blocks, strict=True) if k == 0], ENTRY)
         del blocks
-        if own:
-            found = reply(np.frombuffer(own, ENTRY))
+        if len(own):
+            found = answer(own, kind)
             parts += cut_by(found["row"] % n, found, 1)
         return pa.Table.from_batches(list(batches_of(parts)), GROUPED)
 
@@ -130,4 +152,4 @@ def repeated(sent: DataFrame, n: int, reply: Callable[[np.ndarray], np.ndarray]
 
 def gathered(column: pa.ChunkedArray, dtype: np.dtype) -> np.ndarray:
     """All records of a column of blocks."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype)
+    return unpack(column.to_pylist(), dtype)

@@ -8,7 +8,7 @@ suffixes into groups that fit in memory, by fingerprints of the prefixes:
    window is chosen, so equal windows choose at equal places). A prefix that occurs once is a leaf: no window over it
    repeats, and its suffixes go no further;
 2. below the others, every suffix with its prefix of ``WINDOW`` words: the subtree's nodes of that depth with two
-   leaves are the repeats. Fingerprints here have 128 bits.
+   leaves are the repeats. Fingerprints here have 96 bits.
 
 A prefix that very many suffixes share is not gathered: workers answer for occurrences that they see together and send
 one marker. Maximal repeats are the unions of overlapping repeated windows.
@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .keyed import BLOCKS, ENTRY, GATHER, GROUPED, MARKER, REPLY, batches_of, buckets, cut_by, gathered, key_bucket, numbered, repeated, send
-from .util import mix, slices, table, windows, word_hashes
+from .keyed import BLOCKS, ENTRY, GATHER, GROUPED, MARKER, PLACE, batches_of, buckets, cut_by, gathered, key_bucket, numbered, pack, release, repeated, send, unpack
+from .util import mix, slices, stage, table, windows, word_hashes
 
 WINDOW, SHORT = 35, 20
 _ALL = np.uint64((1 << 64) - 1)
@@ -75,21 +75,23 @@ def _prefixes(docs: DataFrame, n: int, window: int, size: int) -> DataFrame:
 
 
 #: A suffix below a repeated prefix: both halves of the fingerprint of its window, its document and place.
-SUFFIX = np.dtype([("key", "<u8"), ("more", "<u8"), ("row", "<i8"), ("at", "<u4")])
+SUFFIX = np.dtype([("key", "<u8"), ("more", "<u4"), ("row", "<i8"), ("at", "<u4")])
 
 
-def _nodes(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted suffixes of a subtree, and for each the leaves (or markers) below its node of window depth."""
-    s = s[np.lexsort((s["more"], s["key"]))]
-    new = np.append(True, (s["key"][1:] != s["key"][:-1]) | (s["more"][1:] != s["more"][:-1])) if len(s) else np.empty(0, bool)
-    first = np.flatnonzero(new)
+def _leaves(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix of a subtree whether its node of window depth has another leaf (or a marker), and a suffix of each such node."""
+    order = np.lexsort((s["more"], s["key"]))
+    key, more = s["key"][order], s["more"][order]
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (more[1:] != more[:-1]))) if len(s) else np.empty(0, np.int64)
     count = np.diff(np.append(first, len(s)))
-    many = np.where(np.logical_or.reduceat(s["row"] == MARKER, first), 2, count) if len(first) else count
-    return s, np.repeat(many, count)
+    deep = (count > 1) | np.logical_or.reduceat(s["row"][order] == MARKER, first) if len(first) else np.empty(0, bool)
+    out = np.empty(len(s), bool)
+    out[order] = np.repeat(deep, count)
+    return out, order[first[deep]]
 
 
-def _known(s: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(s), REPLY)
+def _places(s: np.ndarray) -> np.ndarray:
+    out = np.empty(len(s), PLACE)
     out["row"], out["at"] = s["row"], s["at"]
     return out
 
@@ -98,9 +100,8 @@ def _suffixes(docs: DataFrame, found: DataFrame, n: int, window: int, size: int)
     """Blocks of the suffixes below repeated short prefixes."""
 
     def run(key: tuple, texts: pa.Table, blocks: pa.Table) -> pa.Table:
-        at = gathered(blocks.column("block"), REPLY)
-        order = np.argsort(at["row"], kind="stable")
-        at = at[order]
+        at = gathered(blocks.column("block"), PLACE)
+        at = at[np.argsort(at["row"], kind="stable")]
         held = []
         rows = texts.column("row").to_numpy()
         lo, hi = np.searchsorted(at["row"], rows), np.searchsorted(at["row"], rows, "right")
@@ -114,21 +115,17 @@ def _suffixes(docs: DataFrame, found: DataFrame, n: int, window: int, size: int)
             live[own] = short[own]
             start = np.flatnonzero(_slide(live, window - size + 1, np.minimum) == least)
             s = np.empty(len(start), SUFFIX)
-            s["key"], s["more"], s["row"], s["at"] = windows(h, window)[start], windows(mix(h), window)[start], rows[i], start
+            s["key"], s["more"], s["row"], s["at"] = windows(h, window)[start], windows(mix(h), window)[start] >> np.uint64(32), rows[i], start
             held.append(s)
         if not held:
             return GROUPED.empty_table()
-        s, many = _nodes(np.concatenate(held))
-        parts = []
-        if (known := s[many > 1])["row"].size:
-            # answered here; one marker for each such node
-            parts += [(key[0].as_py(), 1, _known(known).tobytes())]
-            marks = known[np.append(True, (known["key"][1:] != known["key"][:-1]) | (known["more"][1:] != known["more"][:-1]))].copy()
-            marks["row"] = MARKER
-        else:
-            marks = known
-        rest = np.concatenate([s[many == 1], marks])
-        # a node's group is chosen by its fingerprint
+        s = np.concatenate(held)
+        deep, nodes = _leaves(s)
+        marks = s[nodes]
+        marks["row"], marks["at"] = MARKER, 0
+        # leaves of nodes known here are answered here, with a marker for each such node; a node's group is chosen by its fingerprint
+        parts = [(key[0].as_py(), 1, pack(_places(s[deep])))] if deep.any() else []
+        rest = np.concatenate([s[~deep], marks])
         parts += cut_by(key_bucket(rest["key"], n), rest, 0)
         return pa.Table.from_batches(list(batches_of(parts)), GROUPED)
 
@@ -142,10 +139,10 @@ def _deep(sent: DataFrame, n: int) -> DataFrame:
     def run(key: tuple, groups: pa.Table) -> pa.Table:
         kinds, blocks = groups.column("kind").to_numpy(), groups.column("block").to_pylist()
         parts = [(key[0].as_py(), 1, x) for k, x in zip(kinds, blocks, strict=True) if k == 1]
-        own = b"".join(x for k, x in zip(kinds, blocks, strict=True) if k == 0)
-        if own:
-            s, many = _nodes(np.frombuffer(own, SUFFIX))
-            out = _known(s[(many > 1) & (s["row"] != MARKER)])
+        s = unpack([x for k, x in zip(kinds, blocks, strict=True) if k == 0], SUFFIX)
+        if len(s):
+            deep, _ = _leaves(s)
+            out = _places(s[deep & (s["row"] != MARKER)])
             parts += cut_by(out["row"] % n, out, 1)
         return pa.Table.from_batches(list(batches_of(parts)), GROUPED)
 
@@ -161,13 +158,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     second copy's words repeat, and the first's); an empty table gives none; other columns are ignored.
     """
     size = min(SHORT, max(1, window // 2 + 1))
-    n = buckets(docs.sparkSession)
+    n = buckets(docs.sparkSession, 1)
     own = numbered(docs, id_col, text_col, n)
     found = repeated(_prefixes(own, n, window, size), n)
-    deep = _deep(_suffixes(own, found, n, window, size), n)
+    deep = stage(_deep(_suffixes(own, found, n, window, size), n))
+    del found
+    release(docs.sparkSession)
 
     def run(key: tuple, texts: pa.Table, blocks: pa.Table) -> pa.Table:
-        at = gathered(blocks.column("block"), REPLY)
+        at = gathered(blocks.column("block"), PLACE)
         at = at[np.argsort(at["row"], kind="stable")]
         rows = texts.column("row").to_numpy()
         lo, hi = np.searchsorted(at["row"], rows), np.searchsorted(at["row"], rows, "right")
