@@ -76,13 +76,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     small = sum(r["count"] for r in sizes) <= MOST_BROADCAST
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
     found = None
+    # posexplode_outer: for the inner one Spark adds a filter that makes the shingles twice
     for k in sorted(r["k"] for r in sizes):
         index = at.where(F.col("k") == k).select(F.col("h"), "item_id", "j", "n", "before")
         with_s = own.select("row", "doc_id", F.size("w").alias("words"), shingles(F.col("w"), k).alias("d"))
         if small:
-            met = with_s.select("row", "doc_id", "words", "d", F.posexplode("d").alias("pos", "h")).join(F.broadcast(index), "h")
+            met = with_s.select("row", "doc_id", "words", "d", F.posexplode_outer("d").alias("pos", "h")).join(F.broadcast(index), "h")
         else:
-            met = with_s.select("row", F.posexplode("d").alias("pos", "h")).join(index, "h").join(with_s, "row")
+            met = with_s.select("row", F.posexplode_outer("d").alias("pos", "h")).join(index, "h").join(with_s, "row")
         # the first shingle of each aligned run will do
         met = met.where((F.col("j") == 0) | (F.col("pos") == 0) | ~F.get("d", F.col("pos") - 1).eqNullSafe(F.col("before")))
         start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("j"), F.col("words") - F.col("n")))
