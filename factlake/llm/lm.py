@@ -21,7 +21,7 @@ from .util import slices, stage, table, word_hashes
 SPAN, HIDDEN, OWN, SHARED = 2, 32, 96, 32
 CLASSES = OWN + SHARED
 #: Words with a count of their own; documents of the training sample (by a hash of the id) and words of it that are used at most; steps and their size.
-VOCABULARY, FIT_DOCS, FIT_WORDS, STEPS, BATCH = 4096, 2000, 1_500_000, 400, 4096
+VOCABULARY, FIT_DOCS, FIT_WORDS, STEPS, BATCH = 4096, 2000, 1_500_000, 250, 4096
 
 
 def hashes(text: str | None) -> np.ndarray:
