@@ -29,10 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages that occur more than once; texts of which nothing is left go."""
-    cut = substrings.remove_repeats(docs, with_text=True).select("doc_id", "n_words", "n_removed", "kept")
-    rest = docs.select("doc_id", "lang", "source")
-    kept = cut.join(rest, "doc_id").where("n_removed < n_words OR n_words = 0")
-    return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+    cut = substrings.remove_repeats(docs, with_text=True, more=("lang", "source")).where("n_removed < n_words OR n_words = 0")
+    return cut.select("doc_id", F.col("kept").alias("text"), "more.lang", "more.source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import gc
 import time
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +41,12 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """``row`` (a number of its own for each row), ``doc_id``, ``text`` and the row's ``bucket``."""
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def numbered(docs: DataFrame, id_col: str, text_col: str, n: int, more: Iterable[str] = ()) -> DataFrame:
+    """``row`` (a number of its own for each row), ``doc_id``, ``text``, the row's ``bucket`` and, as a struct, further columns.
+
+    The number follows the order in which the rows are read: give tables, or what :func:`factlake.llm.util.stage` has written.
+    """
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in more]).alias("more")] if more else []))
     return own.withColumn("bucket", F.pmod("row", F.lit(n)))
 
 

@@ -149,17 +149,18 @@ def _deep(sent: DataFrame, n: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, BLOCKS)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
     """Remove every word covered by a run of ``window`` words that also starts anywhere else, in the same document or another.
 
     Returns for each row ``doc_id, n_words, n_removed, kept_sha256`` and, if asked for, ``kept`` (the kept words joined by
     one blank; the text itself where nothing goes) and ``repeats`` (first word and words of each maximal repeat). Null and
     empty texts have no words; shorter texts than ``window`` words keep all of them; repeated rows are documents of their own (so the
-    second copy's words repeat, and the first's); an empty table gives none; other columns are ignored.
+    second copy's words repeat, and the first's); an empty table gives none; other columns are ignored, but those named by ``more``
+    come along as a struct of that name.
     """
     size = min(SHORT, max(1, window // 2 + 1))
     n = buckets(docs.sparkSession, 1)
-    own = numbered(docs, id_col, text_col, n)
+    own = numbered(docs, id_col, text_col, n, more)
     found = repeated(_prefixes(own, n, window, size), n)
     deep = stage(_deep(_suffixes(own, found, n, window, size), n))
     del found
@@ -191,13 +192,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 row |= {"kept": text if len(words) == n_words else kept.decode("utf-8", "surrogatepass"), "repeats": repeats}
             for c, v in row.items():
                 out[c].append(v)
-        return pa.table(out, schema)
+        made = pa.table(out, schema)
+        return made.append_column("more", texts.column("more")) if more else made
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
     spark_schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     if with_text:
         schema = schema.append(pa.field("kept", pa.string())).append(pa.field("repeats", pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))))
         spark_schema += ", kept string, repeats array<struct<first: long, words: long>>"
+    if more:
+        spark_schema += f", more {own.schema['more'].dataType.simpleString()}"
     return own.groupBy("bucket").cogroup(deep.groupBy("bucket")).applyInArrow(run, spark_schema)
 
 
