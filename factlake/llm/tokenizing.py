@@ -8,14 +8,11 @@ piece once; its ids are remembered, up to a fixed number of pieces, by the worke
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
-#: White space where cutting could change ids: more than one in a row, at an end, or other than blank and line feed.
-_ODD = re.compile(r"[^\S \n]|\s\s|^\s|\s$")
-#: Remembered pieces a worker, at about 150 bytes.
-MOST = 500_000
+#: Remembered pieces a worker, at about 150 bytes; pieces that the library encodes as one text.
+MOST, TOGETHER = 500_000, 64
 
 
 class Encoder:
@@ -29,45 +26,68 @@ class Encoder:
         self.tok.encode_special_tokens = True
         self.spaced = self._raw(["a b"])[0] != b"".join(self._raw(["a", "b"]))
         self.feed = self._raw(["a\nb"])[0][len(self._raw(["a"])[0]) : -len(self._raw(["b"])[0])]
-        self.inner: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {} if self.spaced else self.inner
+        # pieces are encoded together with a token between them that is always one of its own
+        self.between, sep = ("\n", self.feed) if self.spaced else (" ~ ", self._raw(["~"])[0])
+        self.sep = int.from_bytes(sep, "little") if len(sep) == 4 else None
+        self.ids: dict[str, bytes] = {}
+        self.odd: set[str] = set()
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, cache: dict[str, bytes], new: set[str], lead: str) -> None:
-        todo = [w for w in new if w not in cache]
-        if len(cache) + len(todo) > MOST:
-            cache.clear()
-            todo = list(new)
-        for i in range(0, len(todo), 20_000):
-            part = todo[i : i + 20_000]
-            cache.update(zip(part, self._raw([lead + w for w in part] if lead else part), strict=True))
+    def _pieces(self, words: list[str], lead: str) -> list[bytes]:
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        out: list[bytes] = []
+        between = self.between + lead
+        for group, e in zip(groups, self.tok.encode_batch_fast([lead + between.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(ids == self.sep)
+            if len(at) != len(group) - 1:
+                out += self._raw([lead + w for w in group])
+                continue
+            raw, ends = ids.tobytes(), (4 * at).tolist()
+            out += [raw[a:b] for a, b in zip([0, *[x + 4 for x in ends]], [*ends, len(raw)], strict=True)]
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        todo = new.difference(self.ids)
+        if len(self.ids) + len(todo) > MOST:
+            self.ids.clear()
+            self.odd.clear()
+            todo = new
+        starts = [w for w in todo if w[0] == "\n"]
+        for key, lead, front, words in (("", " " if self.spaced else "", b"", list(todo.difference(starts))), ("\n", "", self.feed, [w[1:] for w in starts])):
+            if len("".join(words).split()) > 1:  # white space other than the blanks and line feeds at which the text was cut
+                other = [w for w in words if w.split() != [w]]
+                self.odd.update(key + w for w in other)
+                self.ids.update(zip([key + w for w in other], self._raw([lead + w for w in other]), strict=True))
+                words = [w for w in words if w.split() == [w]]
+            for i in range(0, len(words), 16_384):
+                part = words[i : i + 16_384]
+                found = self._pieces(part, lead) if self.sep is not None else self._raw([lead + w for w in part])
+                self.ids.update(zip([key + w for w in part], [front + x for x in found], strict=True) if key else zip(part, found, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        plain, odd, inner, first = [], [], set(), set()
+        out: list[bytes] = [b""] * len(texts)
+        plain, whole, seen = [], [], set()
         for i, t in enumerate(texts):
-            if not t:
-                out[i] = b""
-            elif _ODD.search(t):
-                odd.append(i)
-            else:
-                lines = [x.split(" ") for x in t.split("\n")]
-                plain.append((i, lines))
-                for x in lines:
-                    inner.update(x)
-                    first.add(x[0])
-        if self.spaced:
-            self._learn(self.first, first, "")
-        self._learn(self.inner, inner, " " if self.spaced else "")
-        get = self.inner.__getitem__
-        for i, lines in plain:
-            if self.spaced:
-                out[i] = self.feed.join([self.first[x[0]] + b"".join(map(get, x[1:])) for x in lines])
+            if t:
+                # a piece begins with a line feed if it stood behind one; the first is treated so too
+                x = ("\n" + t.replace("\n", " \n") if self.spaced else t.replace("\n", " ")).split(" ")
+                if "" in x or "\n" in x:  # blanks or line feeds that aren't single, or at an end
+                    whole.append(i)
+                else:
+                    plain.append((i, x))
+                    seen.update(x)
+        self._learn(seen)
+        odd = self.odd and self.odd & seen
+        get, skip = self.ids.__getitem__, len(self.feed) if self.spaced else 0
+        for i, x in plain:
+            if odd and not odd.isdisjoint(x):
+                whole.append(i)
             else:
-                out[i] = b"".join([b"".join(map(get, x)) for x in lines])
-        for i, ids in zip(odd, self._raw([texts[i] for i in odd]), strict=True):
+                out[i] = b"".join(map(get, x))[skip:]
+        for i, ids in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
 
