@@ -2,8 +2,9 @@
 
 Every word is predicted from ``SPAN`` words on both sides while it is itself hidden: log P(word | left, right) = log P(class | left,
 right) by the network + log P(word | class) by corpus counts. The most frequent words are classes of their own, the others
-share classes by a hash. The counts of all words of all documents are gathered by one aggregation; the network, a few
-thousand weights, is trained in numpy on a bounded sample and every whole document is scored in parallel.
+share classes by a hash. The counts of all words of all documents are gathered by one aggregation. A bounded number of
+frequent ones is sent to the workers; every other word meets its own count in a join. The network, a few thousand
+weights, starts from a bounded sample; then each partition trains it on all words of its documents, and the results are averaged.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,12 @@ from .util import slices, stage, table, word_hashes
 
 SPAN, HIDDEN, OWN, SHARED = 2, 32, 96, 32
 CLASSES = OWN + SHARED
-#: Words with a count of their own; documents of the training sample (by a hash of the id) and words of it that are used at most; steps and their size.
-VOCABULARY, FIT_DOCS, FIT_WORDS, STEPS, BATCH = 4096, 2000, 1_500_000, 250, 4096
+#: Words whose counts are sent to the workers at most (other words' counts are joined).
+VOCABULARY = 1 << 17
+#: Of the start of the training: documents (by a hash of the id) and words of them at most, and steps. Words of a step.
+FIT_DOCS, FIT_WORDS, STEPS, BATCH = 2000, 1_500_000, 400, 4096
+#: Words that a worker shuffles together in the pass over all documents; learning rate there at first; partial averages that the driver gets.
+POOL, RATE, SLOTS = 1 << 18, 0.01, 16
 
 
 def hashes(text: str | None) -> np.ndarray:
@@ -53,41 +59,48 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Lexicon:
-    """Frequent words by hash, with their class and log P(word | class); for other words, by shared class, log P(word | class)."""
+    """Frequent words by hash, with their class and log P(word | class); for other words, by shared class, what log P(word | class) is less the logarithm of their count."""
 
     words: np.ndarray
     classes: np.ndarray
     log_in_class: np.ndarray
     log_other: np.ndarray
 
-    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class of each word and log P(word | class)."""
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class of each word, log P(word | class) without the count of words that aren't frequent, and whether it is frequent."""
         shared = OWN + (h & (SHARED - 1))
         if not len(self.words):
-            return shared, self.log_other[shared - OWN]
+            return shared, self.log_other[shared - OWN], np.zeros(len(h), bool)
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         known = self.words[at] == h
-        return np.where(known, self.classes[at], shared), np.where(known, self.log_in_class[at], self.log_other[shared - OWN])
+        return np.where(known, self.classes[at], shared), np.where(known, self.log_in_class[at], self.log_other[shared - OWN]), known
+
+    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class of each word and log P(word | class), to which the logarithm of its count is to be added if it isn't frequent."""
+        return self.find(h)[:2]
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
-    """From word counts: ``VOCABULARY`` rows and two numbers a shared class come to the driver."""
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).toPandas()
+    """From word counts: at most ``VOCABULARY`` rows, a row for each step of the counts and two numbers a shared class come to the driver."""
+    step = F.floor(F.log2("n") * 16)
+    least, words = 1 << 30, 0
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        words += r["count"]
+        if words > VOCABULARY:
+            break
+        least = r["step"]
+    top = counts.where(step >= least).toPandas().sort_values(["n", "word"], ascending=[False, True])
     word, n = top["word"].to_numpy(np.int64), top["n"].to_numpy(np.float64)
     cls = np.where(np.arange(len(word)) < OWN, np.arange(len(word)), OWN + (word & (SHARED - 1)))
-    of = counts.groupBy(F.col("word").bitwiseAND(SHARED - 1).alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).toPandas()
-    total, kinds = np.zeros(SHARED), np.zeros(SHARED)
-    total[of["c"].to_numpy(int)], kinds[of["c"].to_numpy(int)] = of["n"], of["words"]
-    first = word[:OWN] & (SHARED - 1)
-    total -= np.bincount(first, weights=n[:OWN], minlength=SHARED)
-    kinds -= np.bincount(first, minlength=SHARED)
+    of = counts.groupBy(F.col("word").bitwiseAND(SHARED - 1).alias("c")).agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(SHARED)
+    total[of["c"].to_numpy(int)] = of["n"]
+    total -= np.bincount(word[:OWN] & (SHARED - 1), weights=n[:OWN], minlength=SHARED)
     shared = cls >= OWN
-    other = total - np.bincount(cls[shared] - OWN, weights=n[shared], minlength=SHARED)
-    rest = kinds - np.bincount(cls[shared] - OWN, minlength=SHARED)
     inside = np.zeros(len(word))
     inside[shared] = np.log(n[shared] / (total[cls[shared] - OWN] + 1))
     order = np.argsort(word)
-    return Lexicon(word[order], cls[order], inside[order], np.log((np.maximum(other, 0) + 1) / (total + 1) / np.maximum(rest, 1)))
+    return Lexicon(word[order], cls[order], inside[order], -np.log(total + 1))
 
 
 @dataclass
@@ -105,10 +118,16 @@ class Network:
             h = h + self.inputs[k][context[:, k]]
         return np.tanh(h + self.bias)
 
+    def shifted(self, out: np.ndarray) -> np.ndarray:
+        """Sums of the output layer, less their greatest where ``exp`` could overflow."""
+        if not np.abs(self.weights).sum(axis=0).max() + np.abs(self.base).max() < 80:
+            out -= out.max(axis=1, keepdims=True)
+        return out
+
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        out = self.hidden(context) @ self.weights + self.base
-        out -= out.max(axis=1, keepdims=True)
-        return out[np.arange(len(target)), target] - np.log(np.exp(out).sum(axis=1))
+        out = self.shifted(self.hidden(context) @ self.weights + self.base)
+        at = out[np.arange(len(target)), target]
+        return at - np.log(np.exp(out, out=out).sum(axis=1))
 
 
 def contexts(classes: np.ndarray) -> np.ndarray:
@@ -119,6 +138,38 @@ def contexts(classes: np.ndarray) -> np.ndarray:
     return np.stack([padded[k : k + n] for k in range(2 * SPAN + 1) if k != SPAN], 1)
 
 
+class Adam:
+    """Steps of the network's weights."""
+
+    def __init__(self, net: Network):
+        self.net, self.params, self.step = net, [net.inputs, net.bias, net.weights, net.base], 0
+        self.first, self.second = [np.zeros_like(p) for p in self.params], [np.zeros_like(p) for p in self.params]
+
+    def move(self, c: np.ndarray, y: np.ndarray, rate: float) -> None:
+        """One step on the contexts ``c`` of the classes ``y``."""
+        net, size = self.net, len(y)
+        self.step += 1
+        h = net.hidden(c)
+        out = h @ net.weights
+        out += net.base
+        out = net.shifted(out)
+        np.exp(out, out=out)
+        out /= out.sum(axis=1, keepdims=True)
+        out[np.arange(size), y] -= 1
+        out /= size
+        dh = (out @ net.weights.T) * (1 - h * h)
+        grads = [np.zeros_like(net.inputs), dh.sum(axis=0), h.T @ out, out.sum(axis=0)]
+        for k in range(2 * SPAN):
+            order = np.argsort(c[:, k].astype(np.uint8), kind="stable")
+            own = c[order, k]
+            start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            grads[0][k][own[start]] = np.add.reduceat(dh[order], start, axis=0)
+        for p, g, m, v in zip(self.params, grads, self.first, self.second, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p -= (rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-7)).astype(np.float32)
+
+
 def train(documents: list[np.ndarray], seed: int = 7, steps: int = STEPS) -> Network:
     """Train on the class sequences of sampled documents by Adam; none give a uniform network."""
     rng = np.random.default_rng(seed)
@@ -128,38 +179,68 @@ def train(documents: list[np.ndarray], seed: int = 7, steps: int = STEPS) -> Net
         net.weights[:] = 0
         return net
     context, target = np.concatenate([contexts(d) for d in documents]), np.concatenate(documents)
-    params = [net.inputs, net.bias, net.weights, net.base]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    adam = Adam(net)
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(target), BATCH)
-        c, y = context[pick], target[pick]
-        h = net.hidden(c)
-        out = h @ net.weights + net.base
-        out = np.exp(out - out.max(axis=1, keepdims=True))
-        out /= out.sum(axis=1, keepdims=True)
-        out[np.arange(BATCH), y] -= 1
-        out /= BATCH
-        dh = (out @ net.weights.T) * (1 - h * h)
-        grads = [np.zeros_like(net.inputs), dh.sum(axis=0), h.T @ out, out.sum(axis=0)]
-        for k in range(2 * SPAN):
-            np.add.at(grads[0][k], c[:, k], dh)
-        rate = 0.02 * min(1, 2 * (1 - step / (steps + 1)))
-        for p, g, m, v in zip(params, grads, first, second, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+        adam.move(context[pick], target[pick], 0.02 * min(1, 2 * (1 - step / (steps + 1))))
     return net
 
 
+def train_on_all(docs: DataFrame, lex: Lexicon, net: Network) -> Network:
+    """Train ``net`` further on every word of every document: each partition by itself; their weights are averaged by their words."""
+    sent = docs.sparkSession.sparkContext.broadcast((lex, net))  # fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexi, start = sent.value
+        own = Network(start.inputs.copy(), start.bias.copy(), start.weights.copy(), start.base.copy())
+        part = TaskContext.get().partitionId()
+        adam, rng, seen = Adam(own), np.random.default_rng(part), 0
+
+        def learn(parts: list[np.ndarray]) -> int:
+            cls = lexi.look_up(np.concatenate(parts))[0]
+            ends = np.cumsum([len(h) for h in parts])
+            context = np.concatenate([contexts(cls[e - len(h) : e]) for e, h in zip(ends, parts, strict=True)])
+            for pick in np.array_split(rng.permutation(len(cls)), -(-len(cls) // BATCH)):
+                adam.move(context[pick], cls[pick], RATE / (1 + adam.step / 100) ** 0.5)
+            return len(cls)
+
+        held, total = [], 0
+        for b in slices(batches, most=1 << 20):
+            new = [h for h in map(hashes, b.column("text").to_pylist()) if len(h)]
+            held += new
+            total += sum(map(len, new))
+            if total >= POOL:
+                seen += learn(held)
+                held, total = [], 0
+        if held:
+            seen += learn(held)
+        if seen:
+            weights = np.concatenate([p.ravel() for p in adam.params]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([part % SLOTS]), pa.array([part]), pa.array([seen]), pa.array([(weights * seen).tobytes()], pa.binary())], ["slot", "part", "n", "x"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")
+        x = np.sum([np.frombuffer(v, np.float64) for v in rows.column("x").to_pylist()], axis=0)
+        return pa.table({"slot": rows.column("slot")[:1], "n": pa.array([sum(rows.column("n").to_pylist())]), "x": pa.array([x.tobytes()], pa.binary())})
+
+    got = sorted(docs.select("text").mapInArrow(run, "slot long, part long, n long, x binary").groupBy("slot").applyInArrow(add, "slot long, n long, x binary").collect())
+    if not got:
+        return net
+    x = (np.sum([np.frombuffer(r["x"], np.float64) for r in got], axis=0) / sum(r["n"] for r in got)).astype(np.float32)
+    shapes = [p.shape for p in (net.inputs, net.bias, net.weights, net.base)]
+    return Network(*[v.reshape(s) for v, s in zip(np.split(x, np.cumsum([int(np.prod(s)) for s in shapes])[:-1]), shapes, strict=True)])
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS) -> DataFrame:
     """``doc_id, n_tokens, log_likelihood, mean_log_likelihood`` of every document, from its whole text.
 
     Texts without words (null, empty) have the sum 0 and a null mean; equal texts have equal scores; repeated rows stay;
-    an empty table gives none; other columns are ignored.
+    an empty table gives none; other columns are ignored. ``fit_docs`` documents start the training, all go on with it.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lex = lexicon(stage(count_words(own)))
+    counts = stage(count_words(own))
+    lex = lexicon(counts)
     n = own.count()
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.lit(n) < F.lit(fit_docs << 30)
 
@@ -175,24 +256,33 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if used < FIT_WORDS:
             sample.append(np.frombuffer(found[i], np.uint8)[: FIT_WORDS - used].astype(np.int64))
             used += len(sample[-1])
-    sent = spark.sparkContext.broadcast((lex, train(sample)))  # fixed size
+    sent = spark.sparkContext.broadcast((lex, train_on_all(own, lex, train(sample))))  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexi, net = sent.value
         for b in slices(batches, most=1 << 20):
             own = [hashes(t) for t in b.column("text").to_pylist()]
             size = np.array([len(h) for h in own], np.int64)
-            cls, inside = lexi.look_up(np.concatenate(own) if own else np.empty(0, np.int64))
+            h = np.concatenate(own) if own else np.empty(0, np.int64)
+            cls, inside, known = lexi.find(h)
             ends = np.cumsum(size)
             context = np.concatenate([contexts(cls[e - k : e]) for e, k in zip(ends, size, strict=True)]) if len(cls) else np.empty((0, 2 * SPAN), np.int64)
             logs = np.empty(len(cls))
-            for lo in range(0, len(cls), 20_000):
-                hi = lo + 20_000
+            for lo in range(0, len(cls), 2048):
+                hi = lo + 2048
                 logs[lo:hi] = net.log_probability(context[lo:hi], cls[lo:hi]) + inside[lo:hi]
             total = np.array([logs[e - k : e].sum() for e, k in zip(ends, size, strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), pa.array(total), pa.array(total / np.maximum(size, 1), mask=size == 0)], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    return own.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+            offsets = np.append(0, np.append(0, np.cumsum(~known))[ends]).astype(np.int32)
+            others = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[~known]))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(size), pa.array(total), others], ["row", "doc_id", "n_tokens", "x", "others"])
+
+    numbered = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    scored = stage(numbered.mapInArrow(run, "row long, doc_id long, n_tokens long, x double, others array<long>"))
+    # whole numbers, so that the sum doesn't depend on the order; a count of 1 adds nothing
+    more = scored.select("row", F.explode("others").alias("word")).join(counts.where("n > 1"), "word").groupBy("row").agg(F.sum(F.round(F.log("n") * (1 << 32)).cast("long")).alias("more"))
+    total = F.col("x") + F.coalesce("more", F.lit(0)) / F.lit(float(1 << 32))
+    out = scored.drop("others").join(more, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
+    return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 
 def op7_lm_scoring(spark, sf_dir: str) -> DataFrame:

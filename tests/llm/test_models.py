@@ -92,6 +92,32 @@ def test_lexicon_is_a_distribution(spark):
     assert (counts.agg(F.sum("n")).first()[0], len(h)) == (5000, 700)
 
 
+def test_rare_words_have_their_own_counts(spark, monkeypatch):
+    """Words that aren't sent to the workers: of one class and in equal places, their scores differ by their counts alone."""
+    monkeypatch.setattr(lm, "VOCABULARY", 3)
+    group = {}
+    for i in range(400):
+        group.setdefault(int(lm.hashes(f"rare{i}")[0]) & (lm.SHARED - 1), []).append(f"rare{i}")
+    a, b, c = next(v for v in group.values() if len(v) >= 3)[:3]
+    rows = [(i, "the of and " * 300) for i in range(20)] + [(100, a), (101, b), (102, c)] + [(103, a)] * 4 + [(104, f"{b} {c} {b}")]
+    out = {r["doc_id"]: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[100]["log_likelihood"] - out[101]["log_likelihood"] == pytest.approx(np.log(5 / 3), abs=1e-4)
+    assert out[101]["log_likelihood"] - out[102]["log_likelihood"] == pytest.approx(np.log(3 / 2), abs=1e-4)
+    assert out[100]["log_likelihood"] == pytest.approx(out[103]["log_likelihood"], abs=1e-4) and len(out) == 25
+
+
+def test_all_documents_train(spark):
+    """Words of documents that no sample holds are learned too, from every partition."""
+    rows = [(i, " ".join(["one two three" if i % 2 else "red green blue"] * 4000)) for i in range(16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lex = lm.lexicon(lm.count_words(docs))
+    net = lm.train_on_all(docs, lex, lm.train([]))
+    for _, text in rows[:2]:
+        cls = lex.look_up(lm.hashes(text))[0][:60]
+        assert net.log_probability(lm.contexts(cls), cls).mean() > -3.5 > np.log(1 / lm.CLASSES)
+    assert lm.train_on_all(docs.limit(0), lex, net) is net
+
+
 def test_gradient():
     """The network learns a deterministic sequence."""
     seq = np.tile(np.arange(5), 400)
