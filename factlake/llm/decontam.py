@@ -1,14 +1,14 @@
 """Finding benchmark items in documents, with DataFrame functions only.
 
-A window of a document has as many words as the item it is held against. Windows worth a fingerprint are those aligned with
-an item on a word shingle that both have (without one the similarity is 0). Each gets a 64-bit SimHash of its shingles;
-multi-index Hamming blocks (``RADIUS + 1`` of them, so any two fingerprints within the radius agree on a whole block) join
-windows to items, and the exact similarity of the weighted shingles (weight: occurrences) verifies what they find.
+A window of a document has as many words as the item it is held against. A document and an item meet on word shingles that
+both have (a window without one has similarity 0). Every window that holds such a shingle is looked at: the number of its
+shingles that the item has bounds the similarity from above, and what that leaves is verified by the exact similarity of
+the weighted shingles (weight: occurrences). The distance of the 64-bit SimHashes is given with each; it decides nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .util import table
@@ -62,19 +62,15 @@ def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
     return sized.withColumn("s", cases).withColumn("f", simhash(F.col("s"))).drop("w")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
-    """Windows of documents that are benchmark items: ``doc_id, item_id, start`` (word, from 0), ``n_words, similarity, hamming``.
-
-    A window starts where an aligned shingle puts the item's first word, moved inside the document if need be; a document
-    shorter than the item is one window. Null and empty texts and items have no windows; each of several overlapping windows has a row; rows
-    that are repeated give equal rows, once for each; other columns are ignored; empty tables give none.
-    """
+def windows(own: DataFrame, benchmark: DataFrame, size: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """``row, doc_id, item_id, start, n_words, similarity, hamming`` of windows of ``own`` (``row, doc_id, w``: words): see :func:`leaks`."""
     bench = items(benchmark, size=size)
-    at = bench.select("item_id", "n", "k", "s", "f", F.posexplode("s").alias("j", "h"))
+    at = bench.select("item_id", "n", "k", "s", F.posexplode("s").alias("j", "h"))
     at = at.withColumn("before", F.get("s", F.col("j") - 1))
     sizes = at.groupBy("k").count().collect()  # a row a shingle size: 5 at most
     small = sum(r["count"] for r in sizes) <= MOST_BROADCAST
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
+    known = bench.select("item_id", "s", "f")
+    known = F.broadcast(known) if small else known
     found = None
     # posexplode_outer: for the inner one Spark adds a filter that makes the shingles twice
     for k in sorted(r["k"] for r in sizes):
@@ -84,20 +80,45 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             met = with_s.select("row", "doc_id", "words", "d", F.posexplode_outer("d").alias("pos", "h")).join(F.broadcast(index), "h")
         else:
             met = with_s.select("row", F.posexplode_outer("d").alias("pos", "h")).join(index, "h").join(with_s, "row")
-        # the first shingle of each aligned run will do
+        # the first shingle of each aligned run will do: the others lie less than an item behind it
         met = met.where((F.col("j") == 0) | (F.col("pos") == 0) | ~F.get("d", F.col("pos") - 1).eqNullSafe(F.col("before")))
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("j"), F.col("words") - F.col("n")))
-        met = met.select("row", "doc_id", "item_id", start.alias("start"), F.least("n", "words").alias("n_words"), F.slice("d", start + 1, F.greatest(F.lit(1), F.col("n") - k + 1)).alias("d"))
-        met = met.dropDuplicates(["row", "item_id", "start"])
+        last = F.greatest(F.lit(0), F.col("words") - F.col("n"))
+        low = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("n") + k, last))
+        high = F.least(F.col("pos") + F.col("n") - k, last)
+        met = met.select(
+            "row", "doc_id", "item_id", F.least(last, F.greatest(F.lit(0), F.col("pos") - F.col("j"))).alias("aligned"), low.alias("low"), F.least("n", "words").alias("n_words"),
+            (high - low).alias("more"), F.greatest(F.lit(1), F.col("n") - k + 1).alias("m"), F.slice("d", low + 1, high - low + F.col("n") - k + 1).alias("d"),
+        )
         found = met if found is None else found.unionByName(met)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, n_words int, similarity double, hamming int")
-    wins = found.withColumn("fd", simhash(F.col("d"))).withColumn("x", F.explode(blocks(F.col("fd"), radius)))
-    index = bench.select("item_id", F.col("s"), F.col("f"), F.explode(blocks(F.col("f"), radius)).alias("x"))
-    index = F.broadcast(index) if small else index
-    both = wins.join(index, ["item_id", "x"]).dropDuplicates(["row", "item_id", "start"])
-    both = both.withColumn("hamming", F.bit_count(F.col("fd").bitwiseXOR(F.col("f")))).where(F.col("hamming") <= radius)
-    return both.withColumn("similarity", similarity(F.col("d"), F.col("s"))).where(F.col("similarity") >= threshold).select("doc_id", "item_id", "start", "n_words", "similarity", "hamming")
+        return own.sparkSession.createDataFrame([], "row long, doc_id long, item_id long, start int, n_words int, similarity double, hamming int")
+    found = found.join(known, "item_id")
+    had = found.withColumn("had", F.transform("d", lambda x: F.array_contains("s", x)))
+    window = lambda a, i: F.slice(a, i + 1, F.col("m"))
+    most = lambda i: F.size(F.filter(window(F.col("had"), i), lambda x: x))
+    near = F.filter(F.sequence(F.lit(0), F.col("more")), lambda i: most(i) / (F.size(window(F.col("d"), i)) + F.size("s") - most(i)) >= threshold)
+    each = had.withColumn("i", F.explode(near)).withColumn("start", F.col("low") + F.col("i")).withColumn("d", window(F.col("d"), F.col("i")))
+    each = each.select("row", "doc_id", "item_id", "start", "n_words", "d", "s", "f", (F.col("start") == F.col("aligned")).alias("aligned"))
+    each = each.groupBy("row", "item_id", "start").agg(F.max("aligned").alias("aligned"), *[F.first(c).alias(c) for c in ("doc_id", "n_words", "d", "s", "f")])
+    good = each.withColumn("similarity", similarity(F.col("d"), F.col("s"))).where(F.col("similarity") >= threshold)
+    own_start = F.when(F.col("aligned"), F.col("start"))
+    by = Window.partitionBy("row", "item_id")
+    good = good.withColumn("left", F.last(own_start, True).over(by.orderBy("start"))).withColumn("right", F.last(own_start, True).over(by.orderBy(F.desc("start"))))
+    apart = lambda gap: F.coalesce(gap >= F.col("n_words"), F.lit(True))
+    good = good.where(F.col("aligned") | (apart(F.col("start") - F.col("left")) & apart(F.col("right") - F.col("start"))))
+    return good.select("row", "doc_id", "item_id", "start", "n_words", "similarity", F.bit_count(simhash(F.col("d")).bitwiseXOR(F.col("f"))).alias("hamming"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """Windows of documents that are benchmark items: ``doc_id, item_id, start`` (word, from 0), ``n_words, similarity, hamming``.
+
+    All windows with a shingle of the item are held against it. Given are those that an aligned shingle starts (it puts the item's
+    first word there, moved inside the document if need be) and, where none of these overlaps them, all others; a document
+    shorter than the item is one window. Null and empty texts and items have no windows; each of several overlapping windows has a row; rows
+    that are repeated give equal rows, once for each; other columns are ignored; empty tables give none.
+    """
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
+    return windows(own, benchmark, size, threshold).drop("row")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -204,6 +204,46 @@ def test_leaks(spark):
     assert decontam.leaks(d.limit(0), b).count() == 0 and decontam.leaks(d, b.limit(0)).count() == 0
 
 
+def all_windows(docs, items):
+    """Every window of every document by brute force, whatever its start."""
+    out = set()
+    for d, t in docs:
+        w = t.lower().split()
+        for i, text in items:
+            iw = text.lower().split()
+            k = min(5, len(iw))
+            want = [tuple(iw[x : x + k]) for x in range(len(iw) - k + 1)]
+            for start in range(max(0, len(w) - len(iw)) + 1):
+                v = w[start : start + len(iw)]
+                have = [tuple(v[x : x + k]) for x in range(len(v) - k + 1)]
+                common = sum(min(have.count(x), want.count(x)) for x in set(have))
+                if common and common / (len(have) + len(want) - common) >= 0.75:
+                    out.add((d, i, start))
+    return out
+
+
+def test_leaks_at_every_start(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([7, 36, 59, 59, 80])]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        v = ["zz", *w[1:-1], "yy"]
+        docs.append((10 * i, " ".join([word() for _ in range(50)] + v[: len(v) // 2] + ["p", "q", "r"] + v[len(v) // 2 :] + [word() for _ in range(40)])))
+        for m in range(1, 6):
+            v = list(w)
+            for _ in range(m // 2 + 1):
+                v.insert(rng.randint(0, len(v)), "ins") if rng.random() < 0.7 else v.pop(rng.randrange(len(v)))
+            docs.append((10 * i + m, " ".join([word() for _ in range(rng.randint(0, 9))] + v + [word() for _ in range(rng.randint(0, 9))] + (w if m == 5 else []))))
+    got = {(r["doc_id"], r["item_id"], r["start"]) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want, aligned = all_windows(docs, items), {x[:3] for x in brute_leaks(docs, items)}
+    n = {i: len(t.split()) for i, t in items}
+    assert aligned < want and {x[:2] for x in aligned} < {x[:2] for x in want} and (20, 2) in {x[:2] for x in want}
+    alone = {(d, i, s) for d, i, s in want if not any((d, i) == (e, j) and abs(s - t) < n[i] for e, j, t in aligned)}
+    assert got == aligned | alone
+
+
 def test_leaks_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontam, "MOST_BROADCAST", 0)
     d = spark.createDataFrame([(1, "one two three four five six seven eight"), (2, "else")], "doc_id long, text string")
