@@ -21,10 +21,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: that with the least id."""
-    groups = jaccard.similar_groups(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of similar ones: that with the least id, a null one last; of rows with equal ids the first."""
+    gone = jaccard.similar_groups(docs, with_row=True).where("NOT first").select("row")
+    return docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS).join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +33,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
-    return decontam.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    """Rows in which no benchmark item is found."""
+    return decontam.clean_rows(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,5 +127,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return docs.join(bad, id_col, "left_anti").select(*docs.columns)
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows in whose text no benchmark item is found, whatever their ids: each row is judged by itself."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    own = rows.select("row", F.lit(None).cast("long").alias("doc_id"), words(F.col("doc").getField(text_col)).alias("w"))
+    return rows.join(windows(own, benchmark).select("row").distinct(), "row", "left_anti").select("doc.*")
+
+
 def op10_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

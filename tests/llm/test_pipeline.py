@@ -1,3 +1,4 @@
+import random
 from pathlib import Path
 
 import pytest
@@ -29,3 +30,37 @@ def test_stages(spark):
         docs = after
     packed = corpus_pipeline.pack(spark, docs, sf_dir).collect()
     assert {r["doc_id"] for r in packed} == set(left)
+
+
+SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def folder(spark, path, rows, items=(), labels=()):
+    """Tables of a small corpus: rows are (doc_id, text)."""
+    spark.createDataFrame([(d, t, "en", "web", len(t or "")) for d, t in rows], SHAPE).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return spark.read.parquet(f"{path}/documents.parquet"), str(path)
+
+
+def pairs(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n))
+
+
+def test_rows_without_or_with_repeated_ids(spark, tmp_path):
+    """Each stage keeps or drops rows, not ids: one row of a repeated or id-less copy stays to the end, and a clean text with a removed row's id."""
+    rng = random.Random(2)
+    a, b, c, d, e, item = (prose(rng, 60) for _ in range(6))
+    rows = [(1, a), (1, a), (None, b), (None, b), (2, c), (None, c), (3, d), (4, d), (4, e), (5, f"x {item} y"), (None, f"z {item}"), (5, prose(rng, 50)), (None, None), (6, "")]
+    docs, sf_dir = folder(spark, tmp_path, rows, [(9, item)])
+    once = corpus_pipeline.stage(corpus_pipeline.near_duplicates(spark, docs, sf_dir))
+    left = [(1, a), (None, b), (2, c), (3, d), (4, e), rows[9], rows[11], (None, None), (6, "")]
+    assert pairs(once) == sorted(left, key=str)
+    cut = corpus_pipeline.stage(corpus_pipeline.repeated_passages(spark, once, sf_dir))
+    assert [x[0] for x in pairs(cut)].count(1) == 1 and (1, a) in pairs(cut) and (None, b) in pairs(cut)
+    clean = corpus_pipeline.benchmark_leaks(spark, docs, sf_dir)
+    assert pairs(clean) == sorted([r for r in rows if item not in (r[1] or "")], key=str)
