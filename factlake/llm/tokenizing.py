@@ -2,7 +2,8 @@
 
 A pre-token never crosses the places where the text is cut here (before a single blank, around a single line
 feed), so encoding the pieces and joining their ids equals encoding the text. The library encodes each distinct
-piece once; its ids are remembered, up to a fixed number of pieces, by the worker process.
+piece once; its ids are remembered, up to a fixed number of pieces, by the worker process. Texts that hold an added
+token (``<|endoftext|>``) go to the library whole.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = self.tok.get_added_tokens_decoder().values()
+        self.added, self.folded = [a.content for a in added if not a.normalized], [a.content.lower() for a in added if a.normalized]
         self.spaced = self._raw(["a b"])[0] != b"".join(self._raw(["a", "b"]))
         self.feed = self._raw(["a\nb"])[0][len(self._raw(["a"])[0]) : -len(self._raw(["b"])[0])]
         # pieces are encoded together with a token between them that is always one of its own
@@ -71,7 +73,9 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         plain, whole, seen = [], [], set()
         for i, t in enumerate(texts):
-            if t:
+            if t and (any(a in t for a in self.added) or self.folded and any(a in t.lower() for a in self.folded)):
+                whole.append(i)  # an added token is found before the text is cut into pre-tokens
+            elif t:
                 # a piece begins with a line feed if it stood behind one; the first is treated so too
                 x = ("\n" + t.replace("\n", " \n") if self.spaced else t.replace("\n", " ")).split(" ")
                 if "" in x or "\n" in x:  # blanks or line feeds that aren't single, or at an end

@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from factlake.llm import packing
 from factlake.llm.tokenizing import Encoder, public
@@ -48,6 +50,17 @@ def test_encoder_equals_the_library(name):
     assert enc.encode(texts) == enc._raw([t or "" for t in texts])
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_equal_a_fresh_library(name):
+    """Texts that hold the files' own special tokens, against a tokenizer that nothing has been set on."""
+    enc, fresh, rng = Encoder(public(name)), Tokenizer.from_file(public(name)), random.Random(5)
+    bits = ["hi", "there", "It's", " ", "\n", "  ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "oftext|>", "é", "12"]
+    texts = ["hi <|endoftext|> there", "<|endoftext|>", "a<|startoftext|>b", "<|endoftext|>\n\n<|endoftext|>"] + ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(1, 15))) for _ in range(300)]
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
+    assert len(want[0]) < 5
+
+
 def test_pack_documents(spark):
     rows = [(1, "one two three", "x"), (2, None, "y"), (3, "", "z"), (4, "word " * 3000, None), (4, "word " * 3000, None), (None, "no id", "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, length string")
