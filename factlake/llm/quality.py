@@ -134,6 +134,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
 def grade(docs: DataFrame, model: CumulativeLink, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Adds ``expected_grade``, ``p_top`` (probability of the highest grade) and ``keep`` (``p_top >= threshold``) to documents.
 
+    A model without weights (no ratings, one grade only, no telling feature) knows nothing against any document: all are kept.
     Other columns stay as they are, but those of these three names are replaced. Null text counts as empty; repeated rows
     get equal scores; an empty table gives none.
     """
@@ -146,9 +147,10 @@ def grade(docs: DataFrame, model: CumulativeLink, text_col: str = "text", thresh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
+        blank = not (m.index >= 0).any()
         for b in slices(batches, text_col):
             tails = m.tails(m.score([features(t) for t in b.column(text_col).to_pylist()]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= threshold)], [*b.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array((tails[:, -1] >= threshold) | blank)], [*b.schema.names, *names])
 
     from pyspark.sql import types as T
 

@@ -64,3 +64,12 @@ def test_rows_without_or_with_repeated_ids(spark, tmp_path):
     assert [x[0] for x in pairs(cut)].count(1) == 1 and (1, a) in pairs(cut) and (None, b) in pairs(cut)
     clean = corpus_pipeline.benchmark_leaks(spark, docs, sf_dir)
     assert pairs(clean) == sorted([r for r in rows if item not in (r[1] or "")], key=str)
+
+
+@pytest.mark.parametrize("labels", [[], [(i, 0, 1) for i in range(20)]])
+def test_nothing_known_rejects_nothing(spark, tmp_path, labels):
+    """Without labels, or with one grade only, the first stage keeps every document."""
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 20)) for i in range(20)] + [(None, "no id"), (30, None)]
+    docs, sf_dir = folder(spark, tmp_path, rows, labels=labels)
+    assert pairs(corpus_pipeline.quality_filter(spark, docs, sf_dir)) == sorted(rows, key=str)
