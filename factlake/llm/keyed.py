@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 
 #: A key, the row (document) that has it, and a number that goes with them.
 ENTRY = np.dtype([("key", "<u8"), ("row", "<i8"), ("at", "<u4")])
-#: An answer: the row and its number; with the key, and whether the key is frequent.
+#: An answer: the row and its number.
 PLACE = np.dtype([("row", "<i8"), ("at", "<u4")])
-REPLY = np.dtype([("row", "<i8"), ("at", "<u4"), ("key", "<u8"), ("often", "u1")])
 #: Marks an entry that stands for many; no row has this number.
 MARKER = -1
 BLOCKS, GROUPED = "bucket long, kind int, block binary", pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("block", pa.binary())])
@@ -28,9 +27,14 @@ BLOCKS, GROUPED = "bucket long, kind int, block binary", pa.schema([("bucket", p
 GATHER = 1_000_000
 
 
-def buckets(spark: SparkSession, each: int) -> int:
-    """Buckets to deal keys and rows into: odd, and about ``each`` for every shuffle partition."""
-    return each * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+#: Bytes of text a bucket at most, on average: what a task gathers does not depend on how the session is set.
+BUCKET_BYTES = 32 << 20
+
+
+def buckets(docs: DataFrame, text_col: str, each: int) -> int:
+    """Buckets to deal keys and rows into: odd, about ``each`` for every shuffle partition, and as many as the texts' bytes ask for."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+    return max(each * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES) // 2 * 2 + 1
 
 
 def release(spark: SparkSession) -> None:
@@ -117,32 +121,32 @@ def send(entries: np.ndarray, n: int, local: int, kind: np.dtype = PLACE) -> Ite
     single = np.concatenate([entries[~often], markers])
     parts = cut_by(key_bucket(single["key"], n), single, 0)
     if often.any():
-        known = np.ones(int(often.sum()), kind)
-        for f in set(kind.names) & set(ENTRY.names):
+        known = np.empty(int(often.sum()), kind)
+        for f in kind.names:
             known[f] = entries[f][often]
         parts += cut_by(known["row"] % n, known, 1)
     yield from batches_of(parts)
 
 
 def answer(entries: np.ndarray, kind: np.dtype) -> np.ndarray:
-    """Answers for the entries whose key occurs again or has a marker; ``often`` is set where it has one."""
+    """Answers for the entries whose key occurs again or has a marker."""
     order, first, count = runs(entries["key"])
     marked = np.logical_or.reduceat(entries["row"][order] == MARKER, first) if len(first) else np.empty(0, bool)
-    found, often = np.empty(len(entries), bool), np.empty(len(entries), bool)
-    found[order], often[order] = np.repeat((count > 1) | marked, count), np.repeat(marked, count)
+    found = np.empty(len(entries), bool)
+    found[order] = np.repeat((count > 1) | marked, count)
     found &= entries["row"] != MARKER
     out = np.empty(int(found.sum()), kind)
     for f in kind.names:
-        out[f] = often[found] if f == "often" else entries[f][found]
+        out[f] = entries[f][found]
     return out
 
 
 def repeated(sent: DataFrame, n: int, kind: np.dtype = PLACE) -> DataFrame:
-    """From blocks made by :func:`send`, blocks of answers dealt by row: ``bucket, kind, block``."""
+    """From blocks made by :func:`send`, blocks of answers dealt by row: ``bucket, kind, block``; blocks of other kinds than 0 pass through."""
 
     def run(key: tuple, groups: pa.Table) -> pa.Table:
         kinds, blocks = groups.column("kind").to_numpy(), groups.column("block").to_pylist()
-        parts = [(key[0].as_py(), 1, x) for k, x in zip(kinds, blocks, strict=True) if k == 1]
+        parts = [(key[0].as_py(), int(k), x) for k, x in zip(kinds, blocks, strict=True) if k]
         own = unpack([x for k, x in zip(kinds, blocks, strict=True) if k == 0], ENTRY)
         del blocks
         if len(own):

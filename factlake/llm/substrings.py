@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .keyed import BLOCKS, ENTRY, GATHER, GROUPED, MARKER, PLACE, batches_of, buckets, cut_by, gathered, key_bucket, numbered, pack, release, repeated, send, unpack
-from .util import mix, slices, stage, table, windows, word_hashes
+from .util import mix, slices, stage, steady, table, windows, word_hashes
 
 WINDOW, SHORT = 35, 20
 _ALL = np.uint64((1 << 64) - 1)
@@ -159,7 +159,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     come along as a struct of that name.
     """
     size = min(SHORT, max(1, window // 2 + 1))
-    n = buckets(docs.sparkSession, 1)
+    docs = steady(docs)
+    n = buckets(docs, text_col, 1)
     own = numbered(docs, id_col, text_col, n, more)
     found = repeated(_prefixes(own, n, window, size), n)
     deep = stage(_deep(_suffixes(own, found, n, window, size), n))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -25,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share; where that is unset, a temporary one is set."""
+    """A new folder below ``spark.checkpoint.dir``, which all executors share; where that is unset and Spark runs in this process alone, a temporary one is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="factlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/factlake-{uuid.uuid4().hex}"
@@ -40,6 +43,18 @@ def stage(df: DataFrame, keep: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def steady(docs: DataFrame) -> DataFrame:
+    """``docs`` in an order that is the same each time it is read: as it is, if it comes from files or memory row by row, else staged."""
+    nodes = [docs._jdf.queryExecution().analyzed()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() not in ("Project", "Filter", "SubqueryAlias", "View", "LocalRelation", "LogicalRDD", "Range") and "Relation" not in node.nodeName():
+            return stage(docs)
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return docs
+
+
 def drop(staged: DataFrame) -> None:
     """Delete the files of a staged DataFrame that nothing reads any more, with Hadoop's own file systems."""
     spark = staged.sparkSession

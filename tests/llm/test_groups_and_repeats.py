@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factlake.llm import jaccard, keyed, substrings
 
@@ -61,9 +62,11 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("local", [2, 8, 1000])
-def test_similar_groups(spark, monkeypatch, local):
+@pytest.mark.parametrize("local, frequent, most", [(2, 3, 0), (8, 64, 4), (1000, 2, 4)])
+def test_similar_groups(spark, monkeypatch, local, frequent, most):
     monkeypatch.setattr(jaccard, "LOCAL", local)
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "MOST", most)
     rows = corpus(local)
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, row string")
     got = jaccard.similar_groups(docs).collect()
@@ -76,21 +79,47 @@ def test_similar_groups_empty(spark):
     assert sorted(map(tuple, jaccard.similar_groups(one).collect())) == [(1, 0, 1), (2, 1, 2)]
 
 
-def test_signatures_meet():
+def test_repeated_and_dealt_input(spark):
+    """Rows that do not come in the same order each time they are read are staged first."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 2 for _ in range(30))) for i in range(40)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).orderBy(F.rand())
+    got = jaccard.similar_groups(docs).collect()
+    assert collections.Counter(map(tuple, got)) == components(rows)
+
+
+def test_signatures_meet(monkeypatch):
+    monkeypatch.setattr(jaccard, "FREQUENT", 50)
     rng = np.random.default_rng(5)
-    for _ in range(300):
+    for _ in range(400):
         n = int(rng.integers(2, 80))
         x = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
-        often = (rng.random(1 << 8) < rng.random()).astype(np.uint8)
+        count = rng.integers(2, int(rng.integers(3, 200)), 1 << 8)
         keep = x[rng.random(len(x)) > rng.random() * 0.3]
         y = np.unique(np.concatenate([keep, rng.integers(0, 1 << 62, int(rng.integers(0, 1 + n // 4)), dtype=np.uint64)]))
         common = len(np.intersect1d(x, y))
-        if 100 * common < 75 * (len(x) + len(y) - common):
+        if 100 * common < 75 * (len(x) + len(y) - common) or np.array_equal(x, y):
             continue
         # shingles of one set only occur once; the others are rare or frequent
         shared = np.intersect1d(x, y)
-        sig = [set(jaccard.signatures(len(s), shared, often[(shared % 256).astype(int)]).tolist()) for s in (x, y)]
-        assert sig[0] & sig[1]
+        sig = [jaccard.signatures(len(s), shared, count[(shared % 256).astype(int)]) for s in (x, y)]
+        assert set(sig[0][0].tolist()) & set(sig[1][0].tolist())
+
+
+def test_one_signature_of_many_documents():
+    """Documents that share a signature and nothing else that would rule a pair out: every pair is made once, no round makes more than its share."""
+    x = np.zeros(600, jaccard.SIGNED)
+    x["key"], x["row"], x["label"], x["n"], x["m"], x["place"] = 7, np.arange(600), np.arange(600), 100, 100, jaccard.NONE
+    at, seen = 0, []
+    while at >= 0:
+        pairs, _, at = jaccard._meet(x, at, None, 2000)
+        assert len(pairs) <= 2600
+        seen += map(tuple, pairs.tolist())
+    assert len(seen) == len(set(seen)) == 600 * 599 // 2
+    x["label"] = 3
+    assert not len(jaccard._meet(x, 0)[0])
+    x["label"], x["m"] = np.arange(600), 80  # each has a fifth of its own
+    assert not len(jaccard._meet(x, 0)[0])
 
 
 def repeats(rows, window):
