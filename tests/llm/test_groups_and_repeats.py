@@ -106,11 +106,15 @@ def test_signatures_meet(monkeypatch):
         assert set(sig[0][0].tolist()) & set(sig[1][0].tolist())
 
 
+def of_one_signature(n, m):
+    x = np.concatenate([jaccard.records(np.array([7], np.uint64), i, i, n, m, 0) for i in range(600)])
+    x["dense"], x["place"] = 60, 20
+    return x
+
+
 def test_one_signature_of_many_documents():
     """Documents that share a signature and nothing else that would rule a pair out: every pair is made once, no round makes more than its share."""
-    x = np.zeros(600, jaccard.SIGNED)
-    x["key"], x["row"], x["label"], x["n"], x["m"], x["place"] = 7, np.arange(600), np.arange(600), 100, 100, jaccard.NONE
-    at, seen = 0, []
+    x, at, seen = of_one_signature(100, 100), 0, []
     while at >= 0:
         pairs, _, at = jaccard._meet(x, at, None, 2000)
         assert len(pairs) <= 2600
@@ -118,8 +122,25 @@ def test_one_signature_of_many_documents():
     assert len(seen) == len(set(seen)) == 600 * 599 // 2
     x["label"] = 3
     assert not len(jaccard._meet(x, 0)[0])
-    x["label"], x["m"] = np.arange(600), 80  # each has a fifth of its own
-    assert not len(jaccard._meet(x, 0)[0])
+    assert not len(jaccard._meet(of_one_signature(100, 80), 0)[0])  # each has a fifth of its own
+
+
+def test_bounds_hold():
+    """No bound rules out a pair that is similar enough, at the first signature that both have."""
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        n = int(rng.integers(4, 120))
+        both = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        sets = [np.unique(np.concatenate([both[rng.random(len(both)) > rng.random() * 0.2], rng.integers(0, 1 << 62, int(rng.integers(0, 1 + n // 6)), dtype=np.uint64)])) for _ in range(2)]
+        common = len(np.intersect1d(*sets))
+        if 100 * common < 75 * (len(sets[0]) + len(sets[1]) - common) or np.array_equal(*sets):
+            continue
+        count = lambda k: np.where(k % 3 > 0, 100, 2 + (k % 7).astype(np.int64))
+        made = []
+        for i, s in enumerate(sets):
+            sig, rare = jaccard.signatures(len(s), s, count(s))
+            made.append(jaccard.records(sig, i, i, len(s), len(s), rare))
+        assert len(jaccard._meet(np.concatenate(made), 0)[0]) == 1
 
 
 def repeats(rows, window):
