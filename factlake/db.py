@@ -83,7 +83,7 @@ class Database:
                 transactor = Transactor(self.store, self._next_id, self.many)
                 facts, deltas = transactor.run(ops, tx, {})
                 entities = list(dict.fromkeys(d.entity for d in deltas))
-                full = self.dimensions.complete(dims, now, entities)
+                full = self.dimensions.complete(dims, now, entities, self.store.times)
             except Exception:
                 self.last_entity = saved
                 raise
@@ -92,7 +92,6 @@ class Database:
             deltas = [Delta(d.entity, d.attribute, d.old_value, d.new_value, d.operation, d.tx, full, d.asserted, d.retracted) for d in deltas]
             self.store.append(facts)
             self.last_tx += 1
-            self.dimensions.remember(entities, full)
             for e in {d.entity for d in deltas if d.attribute == ":dimension/name"}:
                 self.dimensions.define({d.attribute: d.new_value for d in deltas if d.entity == e})
             result = {":tx-id": tx[":tx/id"], ":tx-time": now, ":deltas": deltas}
@@ -131,11 +130,11 @@ class Database:
             self.dimensions.require(dims)
             own = own.where("op = 'assert'")
             for d in dims:
-                at = F.col("t") if d == SYSTEM else F.col("dims")[d]
+                at = self.dimensions.moment(d)
                 own = own.where(at.isNotNull() & (at <= F.lit(utc(as_of[d])) if d in as_of else F.lit(True)))
             if ":tx" in as_of:
                 own = own.where(F.col("tx_id") <= as_of[":tx"])
-            return own.select("e", value.alias("v"), *[(F.col("t") if d == SYSTEM else F.col("dims")[d]).alias(f"t{i}") for i, d in enumerate(dims)]), False
+            return own.select("e", value.alias("v"), *[self.dimensions.moment(d).alias(f"t{i}") for i, d in enumerate(dims)]), False
         single = self._single(a)
         own = current(own.where(as_of_filter(as_of)), not single, None if kinds == {"long", "double"} else F.col(KINDS[kind]))
         return own.select("e", value.alias("v")), single
@@ -154,6 +153,11 @@ class Database:
         own = self.store.scan().where(as_of_filter(as_of))
         both = current(own.where(~F.col("a").isin(many)), False).unionByName(current(own.where(F.col("a").isin(many)), True))
         values = both.groupBy("e", "a").agg(F.array_join(F.sort_array(F.collect_list(text)), ",").alias("v"))
+        for t in self.catalog.tables.values():
+            if t.key is not None:
+                pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.col(f"`{c}`").cast("string").alias("v")) for a, c in t.attributes().items()])
+                own = t.rows(True).select(F.col(t.entity).cast(self.store.entity).alias("e"), F.explode(pairs).alias("x"))
+                values = values.unionByName(own.select("e", "x.a", "x.v").where("v IS NOT NULL"))
         return values.groupBy("e").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("a", "v")))).alias("attributes"))
 
     def pull(self, ids: object, pattern: object, as_of: Mapping[str, object] | None = None) -> DataFrame:
@@ -206,6 +210,14 @@ class Database:
             return None
         return self.entity(e, as_of)
 
+    def exists(self, e: object, a: str, v: object) -> bool:
+        """Whether an entity's attribute has a value now."""
+        return v in holding(self.store.of([(e, a)])[e, a], not self._single(a))
+
+    def list_dimensions(self) -> list:
+        """The time dimensions, system time among them, by name."""
+        return self.dimensions.listed()
+
     def subscribe(self, query: object, **options: object):
         """A standing query; see :class:`factlake.streaming.subscription.Subscription`."""
         from .streaming.subscription import Subscription

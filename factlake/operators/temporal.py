@@ -33,27 +33,42 @@ class Dimensions:
 
     def __init__(self) -> None:
         self.known: dict[str, Dimension] = {SYSTEM: Dimension(SYSTEM)}
-        self.of_entity: dict[object, dict[str, object]] = {}
 
     def define(self, m: Mapping) -> None:
         """From an entity with ``:dimension/name`` and its further attributes."""
         name = m[":dimension/name"]
         self.known[name] = Dimension(name, m.get(":dimension/type", ":instant"), bool(m.get(":dimension/indexed?")), list(m.get(":dimension/constraints") or ()), m.get(":dimension/derived-from"), m.get(":dimension/description"))
 
+    def listed(self) -> list[Dimension]:
+        """All dimensions by name."""
+        return [self.known[d] for d in sorted(self.known)]
+
+    def moment(self, name: str) -> Column:
+        """A fact's time in a dimension, or a derived dimension's milliseconds."""
+        if name == SYSTEM:
+            return F.col("t")
+        return F.col("nums" if name in self.known and self.known[name].derived else "dims")[name]
+
     def require(self, names: Iterable[str]) -> None:
         for n in names:
             if n not in self.known:
                 raise TimeError(f"unknown time dimension {n}")
 
-    def complete(self, dims: Mapping[str, object], now: datetime, entities: Iterable[object]) -> dict[str, object]:
-        """A transaction's dimensions with system time and derived ones; checks every constraint for every entity of the transaction."""
+    def complete(self, dims: Mapping[str, object], now: datetime, entities: Iterable[object], before: Callable[[list], Mapping[object, Mapping[str, object]]]) -> dict[str, object]:
+        """A transaction's dimensions with system time and derived ones; checks every constraint for every entity of the transaction.
+
+        ``before`` gives the times that entities have in the log; it is asked only if some constraint or derived dimension needs them.
+        """
         if SYSTEM in dims:
             raise TimeError(f"{SYSTEM} cannot be set")
         self.require(d for d in dims if d != ":fn" and not callable(dims[d]))
         check = dims.get(":fn")
         own = {d: utc(v) for d, v in dims.items() if d != ":fn"}
+        entities = list(entities)
+        asked = callable(check) or any(d.constraints or d.derived for d in self.known.values())
+        had = before(entities) if asked and entities else {}
         for e in entities:
-            merged = {**self.of_entity.get(e, {}), **own}
+            merged = {**had.get(e, {}), **own}
             for d in merged:
                 for c in self.known[d].constraints if d in self.known else ():
                     if c.get(":type") == ":ordering" and (after := merged.get(c[":after"])) is not None and merged[d] < after:
@@ -63,8 +78,8 @@ class Dimensions:
             if callable(check) and not check(merged):
                 raise TimeError("the transaction's constraint does not hold")
         out = {**own, SYSTEM: now}
-        for e in list(entities)[:1] or [None]:
-            merged = {**self.of_entity.get(e, {}), **own}
+        for e in entities[:1] or [None]:
+            merged = {**had.get(e, {}), **own}
             for d in self.known.values():
                 if d.derived and d.derived.get(":op") == ":minus":
                     a, b = (merged.get(x) for x in d.derived[":operands"])
@@ -72,12 +87,6 @@ class Dimensions:
                         out[d.name] = millis(a) - millis(b)
         return out
 
-    def remember(self, entities: Iterable[object], dims: Mapping[str, object]) -> None:
-        own = {d: v for d, v in dims.items() if d != SYSTEM}
-        if own:
-            for e in entities:
-                self.of_entity.setdefault(e, {}).update(own)
-
 
 def utc(v: object) -> object:
     if isinstance(v, datetime):

@@ -57,5 +57,8 @@ class FrameStore(Store):
     def tops(self) -> tuple[int, int]:
         return 0, 0
 
+    def delete(self, e: object, a: str | None = None) -> None:
+        raise TypeError("this log is read-only")
+
     def restore(self, snapshot: int) -> None:
         self.df = self.df.where(F.col("tx_id") <= snapshot)

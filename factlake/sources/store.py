@@ -7,8 +7,8 @@ place in the transaction. Values lie in one column for each kind, so that every
 from __future__ import annotations
 
 import json
-import shutil
 import threading
+import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -66,6 +66,7 @@ def schema(entity: str) -> T.StructType:
         T.StructField("v_long", T.LongType()), T.StructField("v_double", T.DoubleType()), T.StructField("v_string", T.StringType()), T.StructField("v_boolean", T.BooleanType()),
         T.StructField("v_instant", T.TimestampType()), T.StructField("v_json", T.StringType()), T.StructField("tx_id", T.LongType()), T.StructField("seq", T.LongType()),
         T.StructField("t", T.TimestampType()), T.StructField("op", T.StringType()), T.StructField("many", T.BooleanType()), T.StructField("dims", T.MapType(T.StringType(), T.TimestampType())),
+        T.StructField("nums", T.MapType(T.StringType(), T.LongType())),
     ])
 
 
@@ -73,7 +74,7 @@ def row_of(f: Fact) -> tuple:
     kind = kind_of(f.v)
     values = dict.fromkeys(("v_long", "v_double", "v_string", "v_boolean", "v_instant", "v_json"))
     values[KINDS[kind]] = _json(f.v) if KINDS[kind] == "v_json" else str(f.v) if kind == "string" else f.v
-    return (f.e, f.a, kind, *values.values(), f.tx_id, f.seq, f.t, f.op, f.many, {k: v for k, v in f.dims.items() if isinstance(v, datetime)})
+    return (f.e, f.a, kind, *values.values(), f.tx_id, f.seq, f.t, f.op, f.many, {k: v for k, v in f.dims.items() if isinstance(v, datetime)}, {k: v for k, v in f.dims.items() if isinstance(v, int)})
 
 
 def fact_of(r: object) -> Fact:
@@ -83,7 +84,20 @@ def fact_of(r: object) -> Fact:
         v = json.loads(v, object_hook=lambda m: datetime.fromisoformat(m["#inst"]) if set(m) == {"#inst"} else m)
     if r["kind"] == "instant":
         v = v.replace(tzinfo=timezone.utc) if v.tzinfo is None else v
-    return Fact(r["e"], r["a"], v, r["tx_id"], r["seq"], r["t"], r["op"], dict(r["dims"] or {}), bool(r["many"]))
+    return Fact(r["e"], r["a"], v, r["tx_id"], r["seq"], r["t"], r["op"], {**{k: _aware(x) for k, x in (r["dims"] or {}).items()}, **(r["nums"] or {})}, bool(r["many"]))
+
+
+def _aware(t: datetime) -> datetime:
+    return t.astimezone(timezone.utc)
+
+
+def kinds_of(facts: Iterable[Fact]) -> dict[str, tuple[set[str], bool]]:
+    """Kinds of the values of each attribute, and whether it had many at a time."""
+    out: dict[str, tuple[set[str], bool]] = {}
+    for f in facts:
+        kinds, many = out.get(f.a, (set(), False))
+        out[f.a] = (kinds | ({kind_of(f.v)} - {"nil"}), many or f.many)
+    return out
 
 
 class Store(ABC):
@@ -109,6 +123,22 @@ class Store(ABC):
     def find(self, a: str, v: object) -> set:
         """Entities of which some fact says that ``a`` is ``v``."""
 
+    def times(self, entities: list) -> dict[object, dict[str, object]]:
+        """For each of some entities the last time that it has in each dimension."""
+        rows = self.scan().where(F.col("e").isin(entities)).select("e", "tx_id", "seq", F.explode("dims").alias("d", "at"))
+        last = rows.groupBy("e", "d").agg(F.max_by("at", F.struct("tx_id", "seq")).alias("at")).collect()  # of one transaction's entities
+        out: dict[object, dict[str, object]] = {}
+        for r in last:
+            out.setdefault(r["e"], {})[r["d"]] = _aware(r["at"])
+        return out
+
+    def first(self, a: str, v: object, many: bool) -> object:
+        """The first entity, in order of its number's text, of which ``a`` is ``v`` now; None if there is none."""
+        from ..operators.temporal import holding
+
+        now = self.of([(e, a) for e in self.find(a, v)])
+        return min((e for (e, _), fs in now.items() if v in holding(fs, many)), key=str, default=None)
+
     @abstractmethod
     def attributes(self) -> dict[str, tuple[set[str], bool]]:
         """Kinds of the values of each attribute, and whether it ever had many at a time."""
@@ -130,6 +160,10 @@ class Store(ABC):
     def restore(self, snapshot: int) -> None:
         """Forget everything after a snapshot."""
 
+    @abstractmethod
+    def delete(self, e: object, a: str | None = None) -> None:
+        """Forget an entity's facts, of one attribute or of all, as if they had never been there."""
+
     def compact(self) -> None:
         """Join small files."""
 
@@ -149,6 +183,7 @@ class MemoryStore(Store):
         self.by_key: dict[tuple, list[Fact]] = {}
         self.by_value: dict[tuple, set] = {}
         self.kinds: dict[str, tuple[set[str], bool]] = {}
+        self.moments: dict[object, dict[str, object]] = {}
         self._frame: tuple[int, DataFrame] | None = None
         self.append(facts)
 
@@ -156,8 +191,10 @@ class MemoryStore(Store):
         for f in facts:
             self.by_key.setdefault((f.e, f.a), []).append(f)
             self.by_value.setdefault((f.a, _json(f.v)), set()).add(f.e)
-            kinds, many = self.kinds.get(f.a, (set(), False))
-            self.kinds[f.a] = (kinds | ({kind_of(f.v)} - {"nil"}), many or f.many)
+            self.moments.setdefault(f.e, {}).update({d: x for d, x in f.dims.items() if isinstance(x, datetime)})
+        for a, (kinds, many) in kinds_of(facts).items():
+            own = self.kinds.get(a, (set(), False))
+            self.kinds[a] = (own[0] | kinds, own[1] or many)
         self.facts += facts
 
     def append_frame(self, df: DataFrame) -> None:
@@ -174,6 +211,12 @@ class MemoryStore(Store):
     def find(self, a: str, v: object) -> set:
         return self.by_value.get((a, _json(v)), set())
 
+    def times(self, entities: list) -> dict[object, dict[str, object]]:
+        return {e: self.moments.get(e, {}) for e in entities}
+
+    def delete(self, e: object, a: str | None = None) -> None:
+        self._clear([f for f in self.facts if f.e != e or a is not None and f.a != a])
+
     def entity_attributes(self, e: object) -> set[str]:
         return {a for x, a in self.by_key if x == e}
 
@@ -188,44 +231,82 @@ class MemoryStore(Store):
 
 
 class ParquetStore(Store):
-    """Facts as Parquet files, a folder for each attribute: reading one attribute reads its folder only.
+    """Facts as Parquet files, below each append's folder one for each attribute: reading an attribute reads its folders only.
 
-    ``compression``: none, snappy, lz4 or zstd. Small transactions are appended as one file each; ``compact`` joins them.
+    An append is there when its commit file is, which is made last and in one step; files without one are never read. A commit
+    file also has the kinds of the append's attributes and its greatest numbers, so neither needs a scan. ``compression``: none,
+    snappy, lz4 or zstd. ``compact`` joins small appends.
     """
 
     def __init__(self, spark: SparkSession, path: str, entity: str = "long", compression: str = "zstd"):
         if compression not in ("none", "snappy", "lz4", "zstd"):
             raise ValueError(f"unknown compression {compression}")
         self.spark, self.path, self.entity, self.compression = spark, path.rstrip("/"), entity, compression
-        self.lock = threading.Lock()
-        self._kinds: dict[str, tuple[set[str], bool]] | None = None
+        self.lock = threading.RLock()
+        self._known: dict[str, dict] = {}
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _read(self, path: str) -> str | None:
+        fs, p = self._fs(path)
+        if not fs.exists(p):
+            return None
+        stream = fs.open(p)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _put(self, path: str, text: str) -> None:
+        fs, p = self._fs(path)
+        out = fs.create(p, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
     def _data(self) -> str:
         """The folder of the current version of the log."""
-        fs, p = self._fs(f"{self.path}/CURRENT")
-        if not fs.exists(p):
-            return f"{self.path}/log-0"
-        return f"{self.path}/{self.spark.read.text(f'{self.path}/CURRENT').first()[0]}"
+        return f"{self.path}/{(self._read(f'{self.path}/CURRENT') or 'log-0').strip()}"
+
+    def _commits(self) -> dict[str, dict]:
+        """What is committed: each append's folder and what its file says."""
+        with self.lock:
+            data = self._data()
+            fs, p = self._fs(f"{data}/commits")
+            names = sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+            found = {f"{data}/{n}": n for n in names if not n.startswith((".", "_"))}
+            self._known = {f: self._known[f] if f in self._known else json.loads(self._read(f"{data}/commits/{n}")) for f, n in found.items()}
+            return dict(self._known)
 
     def append(self, facts: list[Fact]) -> None:
         if facts:
-            self.append_frame(self.spark.createDataFrame([row_of(f) for f in facts], schema(self.entity)).coalesce(1))
+            df = self.spark.createDataFrame([row_of(f) for f in facts], schema(self.entity)).coalesce(1)
+            self._append(df, self._data(), {a: [sorted(k), m] for a, (k, m) in kinds_of(facts).items()}, max(f.tx_id for f in facts), max((f.e for f in facts if isinstance(f.e, int)), default=0))
 
     def append_frame(self, df: DataFrame) -> None:
+        self._append(df, self._data())
+
+    def _append(self, df: DataFrame, data: str, kinds: dict | None = None, tx: int = 0, e: int = 0) -> None:
         with self.lock:
-            self._kinds = None
+            name = f"part=p{uuid.uuid4().hex}"
             own = df.select(*[F.col(c.name).cast(c.dataType) for c in schema(self.entity)])
-            own.write.mode("append").partitionBy("a").option("compression", self.compression).parquet(self._data())
+            own.write.partitionBy("a").option("compression", self.compression).parquet(f"{data}/{name}")
+            if kinds is None:
+                top = F.max("e") if self.entity == "long" else F.lit(0)
+                rows = self._at([f"{data}/{name}"], data).groupBy("a").agg(F.collect_set("kind").alias("k"), F.max("many").alias("m"), F.max("tx_id").alias("t"), top.alias("e")).collect()  # a row an attribute
+                kinds = {r["a"]: [sorted(set(r["k"]) - {"nil"}), bool(r["m"])] for r in rows}
+                tx, e = max((r["t"] or 0 for r in rows), default=0), max((r["e"] or 0 for r in rows), default=0)
+            self._put(f"{data}/commits/{name}", json.dumps({"kinds": kinds, "tx": tx, "e": e}))
+
+    def _at(self, folders: list[str], data: str) -> DataFrame:
+        return self.spark.read.schema(schema(self.entity)).option("basePath", data).parquet(*folders)
 
     def scan(self) -> DataFrame:
-        fs, p = self._fs(self._data())
-        if not fs.exists(p):
+        folders = [f for f, c in self._commits().items() if c["kinds"]]
+        if not folders:
             return self.spark.createDataFrame([], schema(self.entity))
-        return self.spark.read.schema(schema(self.entity)).parquet(self._data())
+        return self._at(folders, folders[0].rsplit("/", 1)[0]).select(*[c.name for c in schema(self.entity)])
 
     def of(self, keys: Iterable[tuple[object, str]]) -> dict[tuple[object, str], list[Fact]]:
         keys = set(keys)
@@ -238,42 +319,56 @@ class ParquetStore(Store):
                 out[r["e"], r["a"]].append(fact_of(r))
         return out
 
+    def _with(self, a: str, v: object) -> DataFrame:
+        column = KINDS[kind_of(v)]
+        value = F.lit(_json(v) if column == "v_json" else str(v) if column == "v_string" else v)
+        return self.scan().where((F.col("a") == a) & (F.col(column) == value))
+
     def find(self, a: str, v: object) -> set:
+        return {r["e"] for r in self._with(a, v).select("e").distinct().collect()}
+
+    def first(self, a: str, v: object, many: bool) -> object:
+        from ..operators.temporal import current
+
+        own = self.scan().where(F.col("a") == a).join(self._with(a, v).select("e").distinct(), "e", "left_semi")
         column = KINDS[kind_of(v)]
         value = F.lit(_json(v) if column == "v_json" else str(v) if column == "v_string" else v)
-        return {r["e"] for r in self.scan().where((F.col("a") == a) & (F.col(column) == value)).select("e").distinct().collect()}
+        return current(own, many).where(F.col(column) == value).agg(F.min_by("e", F.col("e").cast("string"))).first()[0]
 
     def attributes(self) -> dict[str, tuple[set[str], bool]]:
-        if self._kinds is None:
-            rows = self.scan().groupBy("a").agg(F.collect_set("kind").alias("k"), F.max("many").alias("m")).collect()  # a row an attribute
-            self._kinds = {r["a"]: (set(r["k"]) - {"nil"}, bool(r["m"])) for r in rows}
-        return self._kinds
+        out: dict[str, tuple[set[str], bool]] = {}
+        for c in self._commits().values():
+            for a, (kinds, many) in c["kinds"].items():
+                own = out.get(a, (set(), False))
+                out[a] = (own[0] | set(kinds), own[1] or many)
+        return out
 
     def tops(self) -> tuple[int, int]:
-        e = F.max("e") if self.entity == "long" else F.lit(0)
-        r = self.scan().agg(F.max("tx_id").alias("t"), e.alias("e")).first()
-        return r["t"] or 0, r["e"] or 0
+        commits = self._commits().values()
+        return max((c["tx"] for c in commits), default=0), max((c["e"] for c in commits), default=0)
 
     def _rewrite(self, df: DataFrame) -> None:
         """Write a new version beside the old one and switch to it."""
         with self.lock:
             old = self._data()
-            n = int(old.rsplit("-", 1)[1]) + 1
-            df.repartition("a").sortWithinPartitions("a", "e", "tx_id", "seq").write.partitionBy("a").option("compression", self.compression).parquet(f"{self.path}/log-{n}")
-            fs, now = self._fs(f"{self.path}/CURRENT")
-            out = fs.create(now, True)
-            out.writeBytes(f"log-{n}\n")
-            out.close()
-            fs.delete(self._fs(old)[1], True)
-            self._kinds = None
+            new = f"log-{int(old.rsplit('-', 1)[1]) + 1}"
+            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            self._append(df.repartitionByRange(parts, "a", "e").sortWithinPartitions("a", "e", "tx_id", "seq"), f"{self.path}/{new}")
+            self._put(f"{self.path}/CURRENT", new)
+            fs, p = self._fs(old)
+            fs.delete(p, True)
 
     def restore(self, snapshot: int) -> None:
         self._rewrite(self.scan().where(F.col("tx_id") <= snapshot))
 
+    def delete(self, e: object, a: str | None = None) -> None:
+        gone = F.col("e") == e if a is None else (F.col("e") == e) & (F.col("a") == a)
+        self._rewrite(self.scan().where(~gone))
+
     def compact(self) -> None:
         self._rewrite(self.scan())
 
-
-def destroy(path: str) -> None:
-    """Delete a local store's files."""
-    shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+    def destroy(self) -> None:
+        """Delete all files."""
+        fs, p = self._fs(self.path)
+        fs.delete(p, True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset, a temporary one is set."""
+    """A new folder below ``spark.checkpoint.dir``; where that is unset and Spark runs in this process alone, a temporary one is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="factlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/factlake-{uuid.uuid4().hex}"

@@ -5,10 +5,11 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from factlake import queries
+from factlake import fact_queries, queries
 
 DATA = Path("/root/testdata/sf0.001")
 NAMES = ["pred_two_vars", "int_math", "date_diff_ms", "join_star", "anti_not", "not_join", "or_and_branch", "rule_multi_def", "closure_inv", "agg_advanced", "join_agg_sum", "as_of_dim", "cross_dim", "pull_reverse"]
+NAMES += ["tx_lookup_refs", "tx_declared_many", "tx_assoc", "tx_deltas", "tx_atomic", "entity_reads", "store_delete", "store_restore", "store_kinds", "ordering_refused", "derived_dim", "late_event", "two_time_patterns", "list_form_binding", "rule_in_not", "refusals", "pull_star", "pull_limit", "subscribe_diffs", "subscribe_negation"]
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
@@ -27,4 +28,4 @@ def test_equals_sql(spark, name):
 
 def test_registry():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert len(queries.QUERIES) >= 55
+    assert len(queries.QUERIES) >= 100 and fact_queries
