@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import files, read_text, write_text
+
 #: Value columns by kind.
 KINDS = {"long": "v_long", "double": "v_double", "string": "v_string", "boolean": "v_boolean", "instant": "v_instant", "vector": "v_json", "map": "v_json", "nil": "v_json"}
 
@@ -245,38 +247,18 @@ class ParquetStore(Store):
         self.lock = threading.RLock()
         self._known: dict[str, dict] = {}
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _read(self, path: str) -> str | None:
-        fs, p = self._fs(path)
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def _put(self, path: str, text: str) -> None:
-        fs, p = self._fs(path)
-        out = fs.create(p, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-
     def _data(self) -> str:
         """The folder of the current version of the log."""
-        return f"{self.path}/{(self._read(f'{self.path}/CURRENT') or 'log-0').strip()}"
+        return f"{self.path}/{(read_text(self.spark, f'{self.path}/CURRENT') or 'log-0').strip()}"
 
     def _commits(self) -> dict[str, dict]:
         """What is committed: each append's folder and what its file says."""
         with self.lock:
             data = self._data()
-            fs, p = self._fs(f"{data}/commits")
+            fs, p = files(self.spark, f"{data}/commits")
             names = sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
-            found = {f"{data}/{n}": n for n in names if not n.startswith((".", "_"))}
-            self._known = {f: self._known[f] if f in self._known else json.loads(self._read(f"{data}/commits/{n}")) for f, n in found.items()}
+            found = {f"{data}/{n}": n for n in names if n.startswith("part=") and not n.endswith(".tmp")}
+            self._known = {f: self._known[f] if f in self._known else json.loads(read_text(self.spark, f"{data}/commits/{n}")) for f, n in found.items()}
             return dict(self._known)
 
     def append(self, facts: list[Fact]) -> None:
@@ -297,7 +279,7 @@ class ParquetStore(Store):
                 rows = self._at([f"{data}/{name}"], data).groupBy("a").agg(F.collect_set("kind").alias("k"), F.max("many").alias("m"), F.max("tx_id").alias("t"), top.alias("e")).collect()  # a row an attribute
                 kinds = {r["a"]: [sorted(set(r["k"]) - {"nil"}), bool(r["m"])] for r in rows}
                 tx, e = max((r["t"] or 0 for r in rows), default=0), max((r["e"] or 0 for r in rows), default=0)
-            self._put(f"{data}/commits/{name}", json.dumps({"kinds": kinds, "tx": tx, "e": e}))
+            write_text(self.spark, f"{data}/commits/{name}", json.dumps({"kinds": kinds, "tx": tx, "e": e}))
 
     def _at(self, folders: list[str], data: str) -> DataFrame:
         return self.spark.read.schema(schema(self.entity)).option("basePath", data).parquet(*folders)
@@ -354,8 +336,8 @@ class ParquetStore(Store):
             new = f"log-{int(old.rsplit('-', 1)[1]) + 1}"
             parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
             self._append(df.repartitionByRange(parts, "a", "e").sortWithinPartitions("a", "e", "tx_id", "seq"), f"{self.path}/{new}")
-            self._put(f"{self.path}/CURRENT", new)
-            fs, p = self._fs(old)
+            write_text(self.spark, f"{self.path}/CURRENT", new)
+            fs, p = files(self.spark, old)
             fs.delete(p, True)
 
     def restore(self, snapshot: int) -> None:
@@ -370,5 +352,5 @@ class ParquetStore(Store):
 
     def destroy(self) -> None:
         """Delete all files."""
-        fs, p = self._fs(self.path)
+        fs, p = files(self.spark, self.path)
         fs.delete(p, True)

@@ -25,3 +25,32 @@ def stage(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None if it isn't there."""
+    fs, p = files(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written beside its place and then moved there."""
+    fs, p = files(spark, path)
+    tmp = files(spark, f"{path}.{uuid.uuid4().hex}.tmp")[1]
+    out = fs.create(tmp, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(p, False)
+    fs.rename(tmp, p)

@@ -100,3 +100,14 @@ def test_micro_batches(spark, tmp_path):
 def test_bad_delivery(spark, delivery):
     with pytest.raises(ValueError):
         Database(spark).subscribe("[:find ?e :where [?e :a 1]]", delivery=delivery)
+
+
+def test_restart_goes_on_from_written_state(spark, tmp_path):
+    shape, seen = "e long, a string, s string, n double, mult long", []
+    for data in ([(1, ":k", "x", None, 1), (1, ":n", None, 5.0, 1)], [(2, ":k", "x", None, 1), (2, ":n", None, 7.0, 1), (1, ":n", None, 5.0, -1), (1, ":n", None, 6.0, 1)]):
+        spark.createDataFrame(data, shape).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        stream = spark.readStream.schema(shape).json(f"{tmp_path}/in")
+        q, view = maintain(stream, "[:find ?k (sum ?n) (max ?n) :where [?e :k ?k] [?e :n ?n]]", {":k": "s", ":n": "n"}, lambda z, i: seen.append((i, {tuple(r) for r in z.df.collect()})), f"{tmp_path}/checkpoint", ["k", "n", "m"])
+        q.awaitTermination(120)
+    assert seen == [(0, {("x", 5.0, 5.0, 1)}), (1, {("x", 5.0, 5.0, -1), ("x", 13.0, 7.0, 1)})]
+    assert {tuple(r) for r in view.result().collect()} == {("x", 13.0, 7.0)}
