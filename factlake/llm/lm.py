@@ -186,27 +186,51 @@ def train(documents: list[np.ndarray], seed: int = 7, steps: int = STEPS) -> Net
     return net
 
 
-def train_on_all(docs: DataFrame, lex: Lexicon, net: Network) -> Network:
-    """Train ``net`` further on every word of every document: each partition by itself; their weights are averaged by their words."""
-    sent = docs.sparkSession.sparkContext.broadcast((lex, net))  # fixed size
+def encoded(docs: DataFrame, lex: Lexicon) -> DataFrame:
+    """From ``row, doc_id, text``: ``n_tokens``, ``cls`` (a byte a word), ``inside`` (sum of log P(word | class) but for the counts of other words) and ``others`` (hashes of the words that aren't frequent)."""
+    sent = docs.sparkSession.sparkContext.broadcast(lex)  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexi, start = sent.value
+        lexi = sent.value
+        for b in slices(batches, most=1 << 20):
+            own = [hashes(t) for t in b.column("text").to_pylist()]
+            size = np.array([len(h) for h in own], np.int64)
+            h = np.concatenate(own) if own else np.empty(0, np.int64)
+            cls, inside, known = lexi.find(h)
+            ends, raw = np.cumsum(size), cls.astype(np.uint8).tobytes()
+            total = [inside[e - k : e].sum() for e, k in zip(ends, size, strict=True)]
+            offsets = np.append(0, np.append(0, np.cumsum(~known))[ends]).astype(np.int32)
+            others = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[~known]))
+            rows = pa.array([raw[e - k : e] for e, k in zip(ends.tolist(), size.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(size), rows, pa.array(total, pa.float64()), others], ["row", "doc_id", "n_tokens", "cls", "inside", "others"])
+
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, cls binary, inside double, others array<long>")
+
+
+def classes_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint8).astype(np.int64) for x in column.to_pylist()]
+
+
+def train_on_all(docs: DataFrame, net: Network) -> Network:
+    """Train ``net`` further on every word of every document (``cls``): each partition by itself; their weights are averaged by their words."""
+    sent = docs.sparkSession.sparkContext.broadcast(net)  # fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = sent.value
         own = Network(start.inputs.copy(), start.bias.copy(), start.weights.copy(), start.base.copy())
         part = TaskContext.get().partitionId()
         adam, rng, seen = Adam(own), np.random.default_rng(part), 0
 
         def learn(parts: list[np.ndarray]) -> int:
-            cls = lexi.look_up(np.concatenate(parts))[0]
-            ends = np.cumsum([len(h) for h in parts])
-            context = np.concatenate([contexts(cls[e - len(h) : e]) for e, h in zip(ends, parts, strict=True)])
+            cls = np.concatenate(parts)
+            context = np.concatenate([contexts(c) for c in parts])
             for pick in np.array_split(rng.permutation(len(cls)), -(-len(cls) // BATCH)):
                 adam.move(context[pick], cls[pick], RATE / (1 + adam.step / 100) ** 0.5)
             return len(cls)
 
         held, total = [], 0
-        for b in slices(batches, most=1 << 20):
-            new = [h for h in map(hashes, b.column("text").to_pylist()) if len(h)]
+        for b in slices(batches, "cls", 1 << 18):
+            new = [c for c in classes_of(b.column("cls")) if len(c)]
             held += new
             total += sum(map(len, new))
             if total >= POOL:
@@ -223,7 +247,7 @@ def train_on_all(docs: DataFrame, lex: Lexicon, net: Network) -> Network:
         x = np.sum([np.frombuffer(v, np.float64) for v in rows.column("x").to_pylist()], axis=0)
         return pa.table({"slot": rows.column("slot")[:1], "n": pa.array([sum(rows.column("n").to_pylist())]), "x": pa.array([x.tobytes()], pa.binary())})
 
-    got = sorted(docs.select("text").mapInArrow(run, "slot long, part long, n long, x binary").groupBy("slot").applyInArrow(add, "slot long, n long, x binary").collect())
+    got = sorted(docs.select("cls").mapInArrow(run, "slot long, part long, n long, x binary").groupBy("slot").applyInArrow(add, "slot long, n long, x binary").collect())
     if not got:
         return net
     x = (np.sum([np.frombuffer(r["x"], np.float64) for r in got], axis=0) / sum(r["n"] for r in got)).astype(np.float32)
@@ -238,50 +262,39 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an empty table gives none; other columns are ignored. ``fit_docs`` documents start the training, all go on with it.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = stage(count_words(own))
-    lex = lexicon(counts)
-    n = own.count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.lit(n) < F.lit(fit_docs << 30)
-
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([lex.look_up(hashes(t))[0].astype(np.uint8).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "x"])
-
-    got = own.where(share).mapInArrow(classes, "doc_id long, x binary").limit(2 * fit_docs + 100).toArrow()  # about fit_docs rows, a byte a word
-    found = sorted(x for x in got.column("x").to_pylist())
+    known = stage(encoded(own, lexicon(counts)))  # with a number a row, from one reading
+    n = known.count()
+    share = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) * F.lit(n) < F.lit(fit_docs << 30)
+    got = known.where(share).select("cls").limit(2 * fit_docs + 100).toArrow()  # rows have numbers of their own: about fit_docs
+    found = sorted(got.column("cls").to_pylist())
     order = np.random.default_rng(1).permutation(len(found))
     sample, used = [], 0
     for i in order:
         if used < FIT_WORDS:
             sample.append(np.frombuffer(found[i], np.uint8)[: FIT_WORDS - used].astype(np.int64))
             used += len(sample[-1])
-    sent = spark.sparkContext.broadcast((lex, train_on_all(own, lex, train(sample))))  # fixed size
+    sent = spark.sparkContext.broadcast(train_on_all(known, train(sample)))  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexi, net = sent.value
-        for b in slices(batches, most=1 << 20):
-            own = [hashes(t) for t in b.column("text").to_pylist()]
-            size = np.array([len(h) for h in own], np.int64)
-            h = np.concatenate(own) if own else np.empty(0, np.int64)
-            cls, inside, known = lexi.find(h)
-            ends = np.cumsum(size)
-            context = np.concatenate([contexts(cls[e - k : e]) for e, k in zip(ends, size, strict=True)]) if len(cls) else np.empty((0, 2 * SPAN), np.int64)
+        net = sent.value
+        for b in slices(batches, "cls", 1 << 18):
+            own = classes_of(b.column("cls"))
+            cls = np.concatenate(own) if own else np.empty(0, np.int64)
+            context = np.concatenate([contexts(c) for c in own]) if own else np.empty((0, 2 * SPAN), np.int64)
             logs = np.empty(len(cls))
             for lo in range(0, len(cls), 2048):
-                hi = lo + 2048
-                logs[lo:hi] = net.log_probability(context[lo:hi], cls[lo:hi]) + inside[lo:hi]
-            total = np.array([logs[e - k : e].sum() for e, k in zip(ends, size, strict=True)])
-            offsets = np.append(0, np.append(0, np.cumsum(~known))[ends]).astype(np.int32)
-            others = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[~known]))
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(size), pa.array(total), others], ["row", "doc_id", "n_tokens", "x", "others"])
+                logs[lo : lo + 2048] = net.log_probability(context[lo : lo + 2048], cls[lo : lo + 2048])
+            ends = np.cumsum([len(c) for c in own])
+            total = np.array([logs[e - len(c) : e].sum() for e, c in zip(ends, own, strict=True)], np.float64) + b.column("inside").to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("n_tokens"), pa.array(total)], ["row", "doc_id", "n_tokens", "x"])
 
-    numbered = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    scored = stage(numbered.mapInArrow(run, "row long, doc_id long, n_tokens long, x double, others array<long>"))
+    scored = known.select("row", "doc_id", "n_tokens", "cls", "inside").mapInArrow(run, "row long, doc_id long, n_tokens long, x double")
     # whole numbers, so that the sum doesn't depend on the order; a count of 1 adds nothing
-    more = scored.select("row", F.explode("others").alias("word")).join(counts.where("n > 1"), "word").groupBy("row").agg(F.sum(F.round(F.log("n") * (1 << 32)).cast("long")).alias("more"))
+    more = known.select("row", F.explode("others").alias("word")).join(counts.where("n > 1"), "word").groupBy("row").agg(F.sum(F.round(F.log("n") * (1 << 32)).cast("long")).alias("more"))
     total = F.col("x") + F.coalesce("more", F.lit(0)) / F.lit(float(1 << 32))
-    out = scored.drop("others").join(more, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
+    out = scored.join(more, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 
