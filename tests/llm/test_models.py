@@ -2,9 +2,11 @@
 
 import os
 import random
+import re
 from pathlib import Path
 
 import duckdb
+import collections
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -111,11 +113,12 @@ def test_all_documents_train(spark):
     rows = [(i, " ".join(["one two three" if i % 2 else "red green blue"] * 4000)) for i in range(16)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     lex = lm.lexicon(lm.count_words(docs))
-    net = lm.train_on_all(docs, lex, lm.train([]))
+    own = lm.encoded(docs.selectExpr("monotonically_increasing_id() AS row", "CAST(NULL AS long) AS doc_id", "text"), lex)
+    net = lm.train_on_all(own, lm.train([]))
     for _, text in rows[:2]:
         cls = lex.look_up(lm.hashes(text))[0][:60]
         assert net.log_probability(lm.contexts(cls), cls).mean() > -3.5 > np.log(1 / lm.CLASSES)
-    assert lm.train_on_all(docs.limit(0), lex, net) is net
+    assert lm.train_on_all(own.limit(0), net) is net
 
 
 def test_gradient():
@@ -146,8 +149,24 @@ def test_counts_equal_sql(spark):
     con = duckdb.connect()
     for f in ("documents.parquet", "labels.parquet"):
         con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DATA / f}'")
-    got = token_counts.op3_token_counts(spark, str(DATA)).select("source", "lang", "version", "n_docs", "n_tokens")
-    assert sorted(map(tuple, got.collect())) == sorted(con.execute(token_counts.OP3_SQL).fetchall())
+    got = token_counts.token_counts_by_pattern(spark, str(DATA)).select("source", "lang", "version", "n_docs", "n_tokens")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(token_counts.PATTERN_SQL).fetchall())
+    from tokenizers import Tokenizer
+
+    toxic = {r[0] for r in con.execute("SELECT doc_id FROM labels WHERE toxic = 1").fetchall()}
+    poor = {r[0] for r in con.execute("SELECT doc_id FROM labels WHERE quality = 0").fetchall()} - toxic
+    want: collections.Counter = collections.Counter()
+    for version, file in token_counts.VERSIONS.items():
+        fresh = Tokenizer.from_file(token_counts.public(file))
+        for d, text, lang, source in con.execute("SELECT doc_id, text, lang, source FROM documents").fetchall():
+            if d not in toxic:
+                text = re.sub(token_counts.NOISE, "", text or "") if d in poor else text or ""
+                want[source, lang, version, "docs"] += 1
+                want[source, lang, version, "tokens"] += len(fresh.encode(text, add_special_tokens=False).ids)
+    rolled = token_counts.op3_token_counts(spark, str(DATA)).collect()
+    assert {(r["source"], r["lang"], r["version"], k): r[f"n_{k}"] for r in rolled for k in ("docs", "tokens")} == dict(want)
+    counts = token_counts.count_tokens(spark.createDataFrame([(None, None, None, None, 1), (1, "", "en", "web", 2), (1, "two words", "en", "web", 3)], "doc_id long, text string, lang string, source string, counts int"), {"v": token_counts.public("byte_bpe_50k.json")})
+    assert [r["counts"] for r in counts.collect()] == [{"v": 0}, {"v": 0}, {"v": 2}]
     assert len(os.listdir(DATA)) > 1
 
 
@@ -256,3 +275,40 @@ def test_simhash_blocks(spark):
     assert len(a) == decontam.RADIUS + 1 and sum(x != y for x, y in zip(a, b, strict=True)) == 1
     s = spark.range(1).select(decontam.simhash(F.array(*[F.lit(x).cast("long") for x in (5, 5, 8)])).alias("f")).first()["f"]
     assert s == 5
+
+
+def test_scores_are_sums_over_positions(spark, monkeypatch):
+    """Every document's score, recomputed word by word with plain sums from the trained weights and the corpus's own counts."""
+    made = {}
+    of, all_of = lm.lexicon, lm.train_on_all
+    monkeypatch.setattr(lm, "VOCABULARY", 30)
+    monkeypatch.setattr(lm, "lexicon", lambda counts: made.setdefault("lex", of(counts)))
+    monkeypatch.setattr(lm, "train_on_all", lambda docs, net: made.setdefault("net", all_of(docs, net)))
+    rng = random.Random(6)
+    texts = [" ".join(f"w{min(rng.randint(0, 60), rng.randint(0, 60))}" for _ in range(rng.randint(1, 40))) for _ in range(60)] + ["w1", ""]
+    rows = [(i if i % 7 else None, t, "x") for i, t in enumerate(texts)]
+    got = sorted((r["n_tokens"], round(r["log_likelihood"], 3)) for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string, row string")).collect())
+    lex, net = made["lex"], made["net"]
+    count = collections.Counter(w for t in texts for w in t.split())
+    frequent = dict(zip(lex.words.tolist(), lex.classes.tolist()))
+    code = {w: int(lm.hashes(w)[0]) for w in count}
+    cls = {w: frequent.get(h, lm.OWN + (h & (lm.SHARED - 1))) for w, h in code.items()}
+    own = sorted(count, key=lambda w: (-count[w], code[w]))[: lm.OWN]
+    top = {w for w in own if code[w] in frequent}
+    total = collections.Counter()
+    for w in count:
+        if w not in top:
+            total[lm.OWN + (code[w] & (lm.SHARED - 1))] += count[w]
+    want = []
+    for t in texts:
+        words, score = t.split(), 0.0
+        c = [lm.CLASSES] * lm.SPAN + [cls[w] for w in words] + [lm.CLASSES] * lm.SPAN
+        for i, w in enumerate(words):
+            around = [c[i + k] for k in range(2 * lm.SPAN + 1) if k != lm.SPAN]
+            h = np.tanh(sum(net.inputs[k][x] for k, x in enumerate(around)) + net.bias)
+            out = (h @ net.weights + net.base).astype(np.float64)
+            score += out[cls[w]] - np.log(np.exp(out).sum())
+            if cls[w] >= lm.OWN:
+                score += np.log(count[w] / (total[cls[w]] + 1))
+        want.append((len(words), round(score, 3)))
+    assert len(got) == len(want) and all(a[0] == b[0] and abs(a[1] - b[1]) < 0.02 for a, b in zip(got, sorted(want)))
