@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokenizing import encoder, public
+from .tokenizing import piece_counts, public
 from .util import shared_dir, slices, stage, table
 
 KEYS = ("source", "lang", "version")
 #: Tokenizer versions of the query: files of the public tokenizers.
-VERSIONS = {"byte_bpe_50k": "byte_bpe_50k.json", "word_bpe_49k": "word_bpe_49k.json"}
+VERSIONS = {"byte_bpe_50k": "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
 #: Versions of the query that SQL can express too: white-space words; runs of letters, of digits, and of other signs.
 WORDS, RUNS = r"[^\x20\x09-\x0D]+", r"\p{L}+|\p{N}+|[^\p{L}\p{N}\x20\x09-\x0D]+"
 PATTERNS = {"words-1": WORDS, "runs-2": RUNS}
@@ -37,13 +37,11 @@ def count_tokens(docs: DataFrame, versions: Mapping[str, str], text_col: str = "
     """``doc_id, source, lang, counts``: tokens of each whole text by version (``versions`` has the files' paths); null and empty texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array(list(versions) or [""], pa.string())
         for b in slices(batches):
-            texts = b.column("text").to_pylist()
-            each = [[len(x) // 4 for x in encoder(path).encode(texts)] for path in versions.values()]
-            n = pa.array([x for row in zip(*each, strict=True) for x in row], pa.int64())
-            offsets = pa.array(range(0, len(versions) * len(texts) + 1, len(versions)), pa.int32())
-            counts = pa.MapArray.from_arrays(offsets, pa.array(list(names.to_pylist()) * len(texts), pa.string()), n)
+            each = piece_counts(tuple(versions.values())).count(b.column("text").to_pylist())
+            n = pa.array([x for row in each for x in row], pa.int64())
+            offsets = pa.array(range(0, len(n) + 1, len(versions)), pa.int32())
+            counts = pa.MapArray.from_arrays(offsets, pa.array(list(versions) * len(each), pa.string()), n)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("lang"), counts], ["doc_id", "source", "lang", "counts"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -142,8 +140,11 @@ def op3_token_counts(spark, sf_dir: str) -> DataFrame:
     """Loads all documents (twice: the second is a replay), takes toxic ones down, and revises those of low quality to texts without noise signs."""
     docs, toxic, poor = judged(spark, sf_dir)
     files = {v: public(f) for v, f in VERSIONS.items()}
-    revised = docs.join(poor, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", NOISE, ""))
-    return rolled_up(spark, stage(count_tokens(docs, files)), count_tokens(revised, files), toxic, poor)
+    counts = stage(count_tokens(docs, files))
+    # only texts with noise signs have other counts once revised: these alone are counted again, and no text is moved to meet its label
+    cleaned = count_tokens(docs.where(F.col("text").rlike(NOISE)).withColumn("text", F.regexp_replace("text", NOISE, "")), files)
+    revised = counts.join(poor, "doc_id", "left_semi").join(cleaned, "doc_id", "left_anti").unionByName(cleaned.join(poor, "doc_id", "left_semi"))
+    return rolled_up(spark, counts, revised, toxic, poor)
 
 
 def token_counts_by_pattern(spark, sf_dir: str) -> DataFrame:

@@ -144,6 +144,29 @@ def test_counts(spark):
         t.commit("a/b", first)
 
 
+def library(file):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path(file), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_piece_counts_equal_the_library():
+    from factlake.llm.tokenizing import PieceCounts
+
+    files, rng = list(token_counts.VERSIONS.values()), random.Random(3)
+    bits = ["the", "It's", "don't", " ", "  ", "\n", "\n\n", "\t", "é", "12", "a1b", "...", "\u00a0", "\r\n", "\x1c", "x" * 50, "<|endoftext|>", "日本"]
+    texts = ["", None, " a", "a ", "\n"] + ["".join(rng.choice(bits) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(1, 20))) for _ in range(400)]
+    got = PieceCounts(tuple(token_counts.public(f) for f in files)).count(texts)
+    for k, f in enumerate(files):
+        fresh = library(f)
+        assert [x[k] for x in got] == [len(fresh.encode_ordinary(t or "")) for t in texts]
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 def test_counts_equal_sql(spark):
     con = duckdb.connect()
@@ -151,21 +174,19 @@ def test_counts_equal_sql(spark):
         con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DATA / f}'")
     got = token_counts.token_counts_by_pattern(spark, str(DATA)).select("source", "lang", "version", "n_docs", "n_tokens")
     assert sorted(map(tuple, got.collect())) == sorted(con.execute(token_counts.PATTERN_SQL).fetchall())
-    from tokenizers import Tokenizer
-
     toxic = {r[0] for r in con.execute("SELECT doc_id FROM labels WHERE toxic = 1").fetchall()}
     poor = {r[0] for r in con.execute("SELECT doc_id FROM labels WHERE quality = 0").fetchall()} - toxic
     want: collections.Counter = collections.Counter()
     for version, file in token_counts.VERSIONS.items():
-        fresh = Tokenizer.from_file(token_counts.public(file))
+        fresh = library(file)
         for d, text, lang, source in con.execute("SELECT doc_id, text, lang, source FROM documents").fetchall():
             if d not in toxic:
                 text = re.sub(token_counts.NOISE, "", text or "") if d in poor else text or ""
                 want[source, lang, version, "docs"] += 1
-                want[source, lang, version, "tokens"] += len(fresh.encode(text, add_special_tokens=False).ids)
+                want[source, lang, version, "tokens"] += len(fresh.encode_ordinary(text))
     rolled = token_counts.op3_token_counts(spark, str(DATA)).collect()
     assert {(r["source"], r["lang"], r["version"], k): r[f"n_{k}"] for r in rolled for k in ("docs", "tokens")} == dict(want)
-    counts = token_counts.count_tokens(spark.createDataFrame([(None, None, None, None, 1), (1, "", "en", "web", 2), (1, "two words", "en", "web", 3)], "doc_id long, text string, lang string, source string, counts int"), {"v": token_counts.public("byte_bpe_50k.json")})
+    counts = token_counts.count_tokens(spark.createDataFrame([(None, None, None, None, 1), (1, "", "en", "web", 2), (1, "two words", "en", "web", 3)], "doc_id long, text string, lang string, source string, counts int"), {"v": token_counts.public("byte_bpe_50k.tiktoken")})
     assert [r["counts"] for r in counts.collect()] == [{"v": 0}, {"v": 0}, {"v": 2}]
     assert len(os.listdir(DATA)) > 1
 
