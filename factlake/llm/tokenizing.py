@@ -24,8 +24,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        added = self.tok.get_added_tokens_decoder().values()
+        added = list(self.tok.get_added_tokens_decoder().values())
         self.added, self.folded = [a.content for a in added if not a.normalized], [a.content.lower() for a in added if a.normalized]
+        # what all added tokens begin with, as far as it has no case: a text without it holds none of them
+        self.lead = os.path.commonprefix([a.content for a in added]) if added else None
+        self.lead = self.lead[: next((i for i, c in enumerate(self.lead) if c.lower() != c.upper()), len(self.lead))] if self.lead else self.lead
         self.spaced = self._raw(["a b"])[0] != b"".join(self._raw(["a", "b"]))
         self.feed = self._raw(["a\nb"])[0][len(self._raw(["a"])[0]) : -len(self._raw(["b"])[0])]
         # pieces are encoded together with a token between them that is always one of its own
@@ -73,7 +76,7 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         plain, whole, seen = [], [], set()
         for i, t in enumerate(texts):
-            if t and (any(a in t for a in self.added) or self.folded and any(a in t.lower() for a in self.folded)):
+            if t and self.lead is not None and self.lead in t and (any(a in t for a in self.added) or self.folded and any(a in low for low in (t.lower(),) for a in self.folded)):
                 whole.append(i)  # an added token is found before the text is cut into pre-tokens
             elif t:
                 # a piece begins with a line feed if it stood behind one; the first is treated so too
