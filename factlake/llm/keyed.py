@@ -110,14 +110,14 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def send(entries: np.ndarray, n: int, local: int, kind: np.dtype = PLACE) -> Iterator[pa.RecordBatch]:
-    """Blocks for the reducers (kind 0) and, for keys that these entries hold ``local`` times or more, answers (kind 1)."""
+    """Blocks for the reducers (kind 0) and, for keys that these entries hold ``local`` times or more, answers (kind 1); a marker's number is how often."""
     if not len(entries):
         return
     order, first, count = runs(entries["key"])
     often = np.empty(len(entries), bool)
     often[order] = np.repeat(count >= local, count)
     markers = np.zeros(int((count >= local).sum()), ENTRY)
-    markers["key"], markers["row"] = entries["key"][order[first[count >= local]]], MARKER
+    markers["key"], markers["row"], markers["at"] = entries["key"][order[first[count >= local]]], MARKER, count[count >= local]
     single = np.concatenate([entries[~often], markers])
     parts = cut_by(key_bucket(single["key"], n), single, 0)
     if often.any():
@@ -141,8 +141,15 @@ def answer(entries: np.ndarray, kind: np.dtype) -> np.ndarray:
     return out
 
 
-def repeated(sent: DataFrame, n: int, kind: np.dtype = PLACE) -> DataFrame:
-    """From blocks made by :func:`send`, blocks of answers dealt by row: ``bucket, kind, block``; blocks of other kinds than 0 pass through."""
+#: Kind of the blocks that hold keys which occur more often than a group may be large.
+LARGE = 3
+
+
+def repeated(sent: DataFrame, n: int, kind: np.dtype = PLACE, most: int | None = None) -> DataFrame:
+    """From blocks made by :func:`send`, blocks of answers dealt by row: ``bucket, kind, block``; blocks of other kinds than 0 pass through.
+
+    With ``most``, keys that occur more often in all are given too, as blocks of kind ``LARGE``.
+    """
 
     def run(key: tuple, groups: pa.Table) -> pa.Table:
         kinds, blocks = groups.column("kind").to_numpy(), groups.column("block").to_pylist()
@@ -152,6 +159,11 @@ def repeated(sent: DataFrame, n: int, kind: np.dtype = PLACE) -> DataFrame:
         if len(own):
             found = answer(own, kind)
             parts += cut_by(found["row"] % n, found, 1)
+            if most is not None:
+                order, first, _ = runs(own["key"])
+                often = np.add.reduceat(np.where(own["row"] == MARKER, own["at"].astype(np.int64), 1)[order], first) > most
+                if often.any():
+                    parts.append((key[0].as_py(), LARGE, np.ascontiguousarray(own["key"][order[first[often]]]).tobytes()))
         return pa.Table.from_batches(list(batches_of(parts)), GROUPED)
 
     return sent.groupBy("bucket").applyInArrow(run, BLOCKS)

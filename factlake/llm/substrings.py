@@ -1,33 +1,38 @@
 """Removal of word sequences that occur more than once, by prefix-partitioned suffix trees.
 
-A suffix begins at a word and matters up to its first ``WINDOW`` words; a node of the suffix tree that is so deep and has
-two leaves or more is a repeat. The tree is built from the top in two steps of prefix length, each splitting the
-suffixes into groups that fit in memory, by fingerprints of the prefixes:
-
-1. prefixes of ``SHORT`` words, for a sparse set of suffixes chosen by content (winnowing: the least prefix of every
-   window is chosen, so equal windows choose at equal places). A prefix that occurs once is a leaf: no window over it
-   repeats, and its suffixes go no further;
-2. below the others, every suffix with its prefix of ``WINDOW`` words: the subtree's nodes of that depth with two
-   leaves are the repeats. Fingerprints here have 96 bits.
-
-A prefix that very many suffixes share is not gathered: workers answer for occurrences that they see together and send
-one marker. Maximal repeats are the unions of overlapping repeated windows.
+A suffix begins at a word and matters up to its first ``window`` words; a node of the suffix tree that is so deep and has
+two leaves or more is a repeat. Prefixes split the suffixes into groups that fit in memory, a subtree each:
+
+1. A sparse set of prefixes of ``SHORT`` words stands for all windows (winnowing: each window belongs to the least prefix
+   in it, by fingerprint, so equal windows belong to equal prefixes at equal places). A prefix that occurs once ends its branch.
+2. A prefix that occurs up to ``GROUP`` times is a group: the words around its occurrences are gathered, and the subtree of
+   their suffixes is built from the words themselves, as sorted suffixes (prefix doubling). The leaves of a node as deep as the
+   window are a run of equal rank; nodes with two leaves or more are repeats.
+3. A prefix that occurs more often is made longer, up to the window: suffixes are gathered by fingerprints (96 bits) of so long
+   prefixes. One that many share is not gathered at all: workers answer for occurrences that they see together and send one marker.
+
+Maximal repeats are the unions of overlapping repeated windows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .keyed import BLOCKS, ENTRY, GATHER, GROUPED, MARKER, PLACE, batches_of, buckets, cut_by, gathered, key_bucket, numbered, pack, release, repeated, send, unpack
-from .util import mix, slices, stage, steady, table, windows, word_hashes
+from .keyed import BLOCKS, ENTRY, GATHER, GROUPED, LARGE, MARKER, PLACE, batches_of, buckets, cut_by, gathered, key_bucket, numbered, pack, release, repeated, send, unpack
+from .util import drop, mix, slices, stage, steady, table, windows, word_hashes
 
 WINDOW, SHORT = 35, 20
-_ALL = np.uint64((1 << 64) - 1)
+#: Occurrences of a prefix in a group at most (some 50 words each); a more frequent prefix is made longer.
+GROUP = 16_384
+#: Frequent prefixes that are broadcast at most, at 8 bytes each; if there are more, all prefixes are made longer.
+MOST_LARGE = 1_000_000
 
 
 def _slide(x: np.ndarray, k: int, f: np.ufunc) -> np.ndarray:
@@ -96,13 +101,42 @@ def _places(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _suffixes(docs: DataFrame, found: DataFrame, n: int, window: int, size: int) -> DataFrame:
-    """Blocks of the suffixes below repeated short prefixes."""
+#: Words around an occurrence of a prefix: its key, its document, the place of the first word, how many there are, and as bits at which of them its windows begin.
+AROUND = np.dtype([("key", "<u8"), ("row", "<i8"), ("at", "<u4"), ("size", "<u4"), ("starts", "<u8")])
+#: Kind of the blocks of words around prefixes.
+WORDS_AROUND = 2
+
+
+def _pack_around(records: np.ndarray, texts: list[bytes]) -> bytes:
+    return len(records).to_bytes(8, "little") + records.tobytes() + b"\n".join(texts)
+
+
+def _unpack_around(block: bytes) -> tuple[np.ndarray, list[bytes]]:
+    end = 8 + int.from_bytes(block[:8], "little") * AROUND.itemsize
+    return np.frombuffer(block[8:end], AROUND), block[end:].split(b"\n")
+
+
+def _owned(at: np.ndarray, short: np.ndarray, least: np.ndarray, k: int) -> np.ndarray:
+    """For each chosen place (ascending) and each of ``k`` distances whether the window that begins so far before it belongs to it: to the first of equal least prefixes."""
+    key, o = short[at], np.arange(k)
+    order = np.lexsort((at, key))
+    gap = np.full(len(at), k)
+    same = key[order[1:]] == key[order[:-1]]
+    gap[order[1:][same]] = (at[order[1:]] - at[order[:-1]])[same]
+    begin = at[:, None] - o
+    inside = (begin >= 0) & (begin < len(least))
+    return inside & (least[np.where(inside, begin, 0)] == key[:, None]) & (o < gap[:, None])
+
+
+def _suffixes(docs: DataFrame, found: DataFrame, n: int, window: int, size: int, large: np.ndarray | None) -> DataFrame:
+    """Blocks of the words around repeated prefixes and, below the ``large`` ones (None: all), of suffixes; buckets of keys: twice ``n``."""
+    k = window - size + 1
+    o = np.arange(k)
 
     def run(key: tuple, texts: pa.Table, blocks: pa.Table) -> pa.Table:
         at = gathered(blocks.column("block"), PLACE)
-        at = at[np.argsort(at["row"], kind="stable")]
-        held = []
+        at = at[np.lexsort((at["at"], at["row"]))]
+        held, around, near = [], [], []
         rows = texts.column("row").to_numpy()
         lo, hi = np.searchsorted(at["row"], rows), np.searchsorted(at["row"], rows, "right")
         for i in np.flatnonzero(hi > lo).tolist():
@@ -110,30 +144,81 @@ def _suffixes(docs: DataFrame, found: DataFrame, n: int, window: int, size: int)
             h = word_hashes(words)
             short = windows(h, size)
             _, least = chosen(short, window, size)
-            live = np.full(len(short), _ALL)
-            own = at["at"][lo[i] : hi[i]]
-            live[own] = short[own]
-            start = np.flatnonzero(_slide(live, window - size + 1, np.minimum) == least)
-            s = np.empty(len(start), SUFFIX)
-            s["key"], s["more"], s["row"], s["at"] = windows(h, window)[start], windows(mix(h), window)[start] >> np.uint64(32), rows[i], start
-            held.append(s)
-        if not held:
-            return GROUPED.empty_table()
-        s = np.concatenate(held)
-        deep, nodes = _leaves(s)
-        marks = s[nodes]
-        marks["row"], marks["at"] = MARKER, 0
-        # leaves of nodes known here are answered here, with a marker for each such node; a node's group is chosen by its fingerprint
-        parts = [(key[0].as_py(), 1, pack(_places(s[deep])))] if deep.any() else []
-        rest = np.concatenate([s[~deep], marks])
-        parts += cut_by(key_bucket(rest["key"], n), rest, 0)
-        return pa.Table.from_batches(list(batches_of(parts)), GROUPED)
+            own = at["at"][lo[i] : hi[i]].astype(np.int64)
+            mine = _owned(own, short, least, k)
+            long = np.ones(len(own), bool) if large is None else np.isin(short[own], large)
+            if long.any():
+                start = (own[:, None] - o)[mine & long[:, None]]
+                s = np.empty(len(start), SUFFIX)
+                s["key"], s["more"], s["row"], s["at"] = windows(h, window)[start], windows(mix(h), window)[start] >> np.uint64(32), rows[i], start
+                held.append(s)
+            mine, own = mine[~long], own[~long]
+            has = mine.any(axis=1)
+            mine, own = mine[has], own[has]
+            if len(own):
+                nearest, farthest = mine.argmax(axis=1), k - 1 - mine[:, ::-1].argmax(axis=1)
+                e = np.empty(len(own), AROUND)
+                e["key"], e["row"], e["at"], e["size"] = short[own], rows[i], own - farthest, farthest - nearest + window
+                bit = np.where(mine, farthest[:, None] - o, 0).astype(np.uint64)
+                e["starts"] = np.where(mine, np.uint64(1) << bit, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+                around.append(e)
+                near += [b" ".join(words[a:b]) for a, b in zip(e["at"].tolist(), (e["at"] + e["size"]).tolist(), strict=True)]
+        parts = []
+        if held:
+            s = np.concatenate(held)
+            deep, nodes = _leaves(s)
+            marks = s[nodes]
+            marks["row"], marks["at"] = MARKER, 0
+            # leaves of nodes known here are answered here, with a marker for each such node
+            parts += [(key[0].as_py(), 1, pack(_places(s[deep])))] if deep.any() else []
+            rest = np.concatenate([s[~deep], marks])
+            parts += cut_by(key_bucket(rest["key"], 2 * n), rest, 0)
+        if around:
+            e = np.concatenate(around)
+            where = key_bucket(e["key"], 2 * n)
+            order = np.argsort(where, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
+                parts.append((int(where[part[0]]), WORDS_AROUND, _pack_around(e[part], [near[j] for j in part.tolist()])))
+        return pa.Table.from_batches(list(batches_of(parts)), GROUPED) if parts else GROUPED.empty_table()
 
     texts = docs.select("bucket", "row", "text")
     return texts.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(run, BLOCKS)
 
 
-def _deep(sent: DataFrame, n: int) -> DataFrame:
+def _rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1].astype(np.int64)
+
+
+def subtree(around: np.ndarray, texts: list[bytes], window: int) -> np.ndarray:
+    """Leaves, as places, of the nodes of ``window`` words with two leaves or more, in the tree of the suffixes that begin windows."""
+    words = b" ".join(texts).split(b" ")
+    rank, depth = np.fromiter(map({}.setdefault, words, itertools.count()), np.int64, len(words)), 1
+    del words
+    while depth < window:
+        step = min(depth, window - depth)
+        rank, depth = _rank(rank[:-step], rank[step:]), depth + step
+    base = np.cumsum(around["size"], dtype=np.int64) - around["size"]
+    which, o = np.nonzero(around["starts"][:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1))
+    node = rank[base[which] + o]
+    deep = np.bincount(node)[node] > 1
+    out = np.empty(int(deep.sum()), PLACE)
+    out["row"], out["at"] = around["row"][which[deep]], around["at"][which[deep]] + o[deep]
+    return out
+
+
+def subtrees(around: np.ndarray, texts: list[bytes], window: int, most: int) -> Iterator[np.ndarray]:
+    """:func:`subtree` of whole groups, as many together as have ``most`` occurrences."""
+    order = np.argsort(around["key"], kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(around["key"][order])) + 1, len(order))
+    lo = 0
+    while lo < len(order):
+        hi = int(ends[max(np.searchsorted(ends, lo, "right"), np.searchsorted(ends, lo + most, "right") - 1)])
+        part = order[lo:hi]
+        yield subtree(around[part], [texts[j] for j in part.tolist()], window)
+        lo = hi
+
+
+def _deep(sent: DataFrame, n: int, window: int, most: int) -> DataFrame:
     """Leaves of the deep internal nodes, dealt by document."""
 
     def run(key: tuple, groups: pa.Table) -> pa.Table:
@@ -144,27 +229,43 @@ def _deep(sent: DataFrame, n: int) -> DataFrame:
             deep, _ = _leaves(s)
             out = _places(s[deep & (s["row"] != MARKER)])
             parts += cut_by(out["row"] % n, out, 1)
-        return pa.Table.from_batches(list(batches_of(parts)), GROUPED)
+        near = [_unpack_around(x) for k, x in zip(kinds, blocks, strict=True) if k == WORDS_AROUND]
+        del blocks, s
+        if near:
+            around, texts = np.concatenate([a for a, _ in near]), [t for _, ts in near for t in ts]
+            del near
+            out = np.concatenate(list(subtrees(around, texts, window, most)))
+            parts += cut_by(out["row"] % n, out, 1)
+        return pa.Table.from_batches(list(batches_of(parts)), GROUPED) if parts else GROUPED.empty_table()
 
     return sent.groupBy("bucket").applyInArrow(run, BLOCKS)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
+def _large(found: DataFrame) -> np.ndarray | None:
+    """Keys of the prefixes that occur too often for a group; None if there are too many of them to send to the workers."""
+    keys = found.where(F.col("kind") == LARGE)
+    if (keys.agg(F.sum(F.octet_length("block"))).first()[0] or 0) > 8 * MOST_LARGE:
+        return None
+    return np.sort(np.frombuffer(b"".join(bytes(r["block"]) for r in keys.select("block").collect()), "<u8"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False, more: tuple[str, ...] = (), group: int = GROUP) -> DataFrame:
     """Remove every word covered by a run of ``window`` words that also starts anywhere else, in the same document or another.
 
     Returns for each row ``doc_id, n_words, n_removed, kept_sha256`` and, if asked for, ``kept`` (the kept words joined by
     one blank; the text itself where nothing goes) and ``repeats`` (first word and words of each maximal repeat). Null and
     empty texts have no words; shorter texts than ``window`` words keep all of them; repeated rows are documents of their own (so the
     second copy's words repeat, and the first's); an empty table gives none; other columns are ignored, but those named by ``more``
-    come along as a struct of that name.
+    come along as a struct of that name. ``group`` bounds the occurrences of a prefix that are gathered; it changes no result.
     """
-    size = min(SHORT, max(1, window // 2 + 1))
+    size = max(min(SHORT, max(1, window // 2 + 1)), window - 63)
     docs = steady(docs)
     n = buckets(docs, text_col, 1)
     own = numbered(docs, id_col, text_col, n, more)
-    found = repeated(_prefixes(own, n, window, size), n)
-    deep = stage(_deep(_suffixes(own, found, n, window, size), n))
-    del found
+    found = stage(repeated(_prefixes(own, n, window, size), n, most=group))
+    release(docs.sparkSession)
+    deep = stage(_deep(_suffixes(own, found.where("kind = 1"), n, window, size, _large(found)), n, window, group))
+    drop(found)
     release(docs.sparkSession)
 
     def run(key: tuple, texts: pa.Table, blocks: pa.Table) -> pa.Table:

@@ -157,8 +157,8 @@ def repeats(rows, window):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("window", [3, 8, 35])
-def test_remove_repeats(spark, window):
+@pytest.mark.parametrize("window, group", [(3, 16_384), (8, 16_384), (8, 5), (35, 16_384), (35, 0), (35, 16)])
+def test_remove_repeats(spark, window, group):
     rng = random.Random(window)
     passage = [[rng.choice("abcdef") + rng.choice("xyz") for _ in range(rng.randint(window - 2, window * 3))] for _ in range(4)]
     rows = []
@@ -168,13 +168,32 @@ def test_remove_repeats(spark, window):
         rows.append((i if i != 5 else None, rng.choice([" ", "\n", "  "]).join(w for p in parts for w in p)))
     rows += [(100, None), (101, ""), (102, "a " * 200), (103, "b b"), (3, rows[3][1]), (104, "é " + " ".join(passage[0]) + " ü")]
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, bucket int")
-    got = substrings.remove_repeats(docs, window=window, with_text=True).collect()
+    got = substrings.remove_repeats(docs, window=window, with_text=True, group=group).collect()
     assert collections.Counter(tuple(r)[:4] for r in got) == repeats(rows, window)
     for r in got:
         assert sum(x["words"] for x in r["repeats"]) == r["n_removed"]
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_subtrees(spark):
+    """Groups of many prefixes, cut by memory: words decide, not their fingerprints, and every window is one leaf."""
+    rng = random.Random(4)
+    docs = [[rng.choice("ab") for _ in range(rng.randint(0, 60))] for _ in range(40)]
+    around, texts, want = [], [], set()
+    count = collections.Counter(tuple(w[i : i + 5]) for w in docs for i in range(len(w) - 4))
+    for row, w in enumerate(docs):
+        for i in range(len(w) - 4):
+            around.append((ord(w[i]), row, i, 5, 1))  # the key is the first word
+            texts.append(" ".join(w[i : i + 5]).encode())
+            if count[tuple(w[i : i + 5])] > 1:
+                want.add((row, i))
+    for most in (1, 50, 10_000):
+        got = [tuple(x) for part in substrings.subtrees(np.array(around, substrings.AROUND), texts, 5, most) for x in part.tolist()]
+        assert len(got) == len(set(got)) and set(got) == want
+    block = substrings._pack_around(np.array(around[:3], substrings.AROUND), texts[:3])
+    assert substrings._unpack_around(block)[0].tolist() == around[:3] and substrings._unpack_around(block)[1] == texts[:3]
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(1)
     e = np.empty(500, keyed.ENTRY)
