@@ -68,7 +68,7 @@ def _prefixes(docs: DataFrame, n: int, window: int, size: int) -> DataFrame:
                 short = windows(word_hashes(words), size)
                 at, _ = chosen(short, window, size)
                 e = np.empty(len(at), ENTRY)
-                e["key"], e["row"], e["at"] = short[at], row, at
+                e["key"], e["row"], e["at"] = mix(short[at]), row, at  # the least of several hashes would not spread evenly
                 held.append(e)
             if sum(map(len, held)) >= GATHER:
                 yield from send(np.concatenate(held), n, 2)
@@ -146,7 +146,7 @@ def _suffixes(docs: DataFrame, found: DataFrame, n: int, window: int, size: int,
             _, least = chosen(short, window, size)
             own = at["at"][lo[i] : hi[i]].astype(np.int64)
             mine = _owned(own, short, least, k)
-            long = np.ones(len(own), bool) if large is None else np.isin(short[own], large)
+            long = np.ones(len(own), bool) if large is None else np.isin(mix(short[own]), large)
             if long.any():
                 start = (own[:, None] - o)[mine & long[:, None]]
                 s = np.empty(len(start), SUFFIX)
@@ -158,7 +158,7 @@ def _suffixes(docs: DataFrame, found: DataFrame, n: int, window: int, size: int,
             if len(own):
                 nearest, farthest = mine.argmax(axis=1), k - 1 - mine[:, ::-1].argmax(axis=1)
                 e = np.empty(len(own), AROUND)
-                e["key"], e["row"], e["at"], e["size"] = short[own], rows[i], own - farthest, farthest - nearest + window
+                e["key"], e["row"], e["at"], e["size"] = mix(short[own]), rows[i], own - farthest, farthest - nearest + window
                 bit = np.where(mine, farthest[:, None] - o, 0).astype(np.uint64)
                 e["starts"] = np.where(mine, np.uint64(1) << bit, np.uint64(0)).sum(axis=1, dtype=np.uint64)
                 around.append(e)
