@@ -30,7 +30,7 @@ from .util import drop, mix, slices, stage, steady, table, windows, word_hashes
 
 WINDOW, SHORT = 35, 20
 #: Occurrences of a prefix in a group at most (some 50 words each); a more frequent prefix is made longer.
-GROUP = 16_384
+GROUP = 4_096
 #: Frequent prefixes that are broadcast at most, at 8 bytes each; if there are more, all prefixes are made longer.
 MOST_LARGE = 1_000_000
 
@@ -105,15 +105,26 @@ def _places(s: np.ndarray) -> np.ndarray:
 AROUND = np.dtype([("key", "<u8"), ("row", "<i8"), ("at", "<u4"), ("size", "<u4"), ("starts", "<u8")])
 #: Kind of the blocks of words around prefixes.
 WORDS_AROUND = 2
+#: Bytes of words around prefixes that a worker holds before it packs them.
+HELD_BYTES = 8 << 20
 
 
 def _pack_around(records: np.ndarray, texts: list[bytes]) -> bytes:
-    return len(records).to_bytes(8, "little") + records.tobytes() + b"\n".join(texts)
+    raw = len(records).to_bytes(8, "little") + records.tobytes() + b"\n".join(texts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def _unpack_around(block: bytes) -> tuple[np.ndarray, list[bytes]]:
-    end = 8 + int.from_bytes(block[:8], "little") * AROUND.itemsize
-    return np.frombuffer(block[8:end], AROUND), block[end:].split(b"\n")
+    raw = pa.decompress(block[8:], int.from_bytes(block[:8], "little"), "zstd", asbytes=True)
+    end = 8 + int.from_bytes(raw[:8], "little") * AROUND.itemsize
+    return np.frombuffer(raw[8:end], AROUND), raw[end:].split(b"\n")
+
+
+def _cut_around(around: list[np.ndarray], texts: list[bytes], n: int) -> list[tuple[int, int, bytes]]:
+    e = np.concatenate(around)
+    where = key_bucket(e["key"], n)
+    order = np.argsort(where, kind="stable")
+    return [(int(where[p[0]]), WORDS_AROUND, _pack_around(e[p], [texts[j] for j in p.tolist()])) for p in np.split(order, np.flatnonzero(np.diff(where[order])) + 1)]
 
 
 def _owned(at: np.ndarray, short: np.ndarray, least: np.ndarray, k: int) -> np.ndarray:
@@ -136,7 +147,7 @@ def _suffixes(docs: DataFrame, found: DataFrame, n: int, window: int, size: int,
     def run(key: tuple, texts: pa.Table, blocks: pa.Table) -> pa.Table:
         at = gathered(blocks.column("block"), PLACE)
         at = at[np.lexsort((at["at"], at["row"]))]
-        held, around, near = [], [], []
+        parts, held, around, near, size_near = [], [], [], [], 0
         rows = texts.column("row").to_numpy()
         lo, hi = np.searchsorted(at["row"], rows), np.searchsorted(at["row"], rows, "right")
         for i in np.flatnonzero(hi > lo).tolist():
@@ -163,7 +174,10 @@ def _suffixes(docs: DataFrame, found: DataFrame, n: int, window: int, size: int,
                 e["starts"] = np.where(mine, np.uint64(1) << bit, np.uint64(0)).sum(axis=1, dtype=np.uint64)
                 around.append(e)
                 near += [b" ".join(words[a:b]) for a, b in zip(e["at"].tolist(), (e["at"] + e["size"]).tolist(), strict=True)]
-        parts = []
+                size_near += sum(map(len, near[-len(own) :]))
+                if size_near >= HELD_BYTES:
+                    parts += _cut_around(around, near, 2 * n)
+                    around, near, size_near = [], [], 0
         if held:
             s = np.concatenate(held)
             deep, nodes = _leaves(s)
@@ -174,11 +188,7 @@ def _suffixes(docs: DataFrame, found: DataFrame, n: int, window: int, size: int,
             rest = np.concatenate([s[~deep], marks])
             parts += cut_by(key_bucket(rest["key"], 2 * n), rest, 0)
         if around:
-            e = np.concatenate(around)
-            where = key_bucket(e["key"], 2 * n)
-            order = np.argsort(where, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
-                parts.append((int(where[part[0]]), WORDS_AROUND, _pack_around(e[part], [near[j] for j in part.tolist()])))
+            parts += _cut_around(around, near, 2 * n)
         return pa.Table.from_batches(list(batches_of(parts)), GROUPED) if parts else GROUPED.empty_table()
 
     texts = docs.select("bucket", "row", "text")
@@ -191,13 +201,15 @@ def _rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def subtree(around: np.ndarray, texts: list[bytes], window: int) -> np.ndarray:
     """Leaves, as places, of the nodes of ``window`` words with two leaves or more, in the tree of the suffixes that begin windows."""
-    words = b" ".join(texts).split(b" ")
+    # words around copies are the same: they are ranked once
+    own, at = np.unique(np.fromiter(map({}.setdefault, texts, itertools.count()), np.int64, len(texts)), return_inverse=True)
+    words = b" ".join([texts[j] for j in own.tolist()]).split(b" ")
     rank, depth = np.fromiter(map({}.setdefault, words, itertools.count()), np.int64, len(words)), 1
     del words
     while depth < window:
         step = min(depth, window - depth)
         rank, depth = _rank(rank[:-step], rank[step:]), depth + step
-    base = np.cumsum(around["size"], dtype=np.int64) - around["size"]
+    base = (np.cumsum(around["size"][own], dtype=np.int64) - around["size"][own])[at]
     which, o = np.nonzero(around["starts"][:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1))
     node = rank[base[which] + o]
     deep = np.bincount(node)[node] > 1
@@ -229,12 +241,14 @@ def _deep(sent: DataFrame, n: int, window: int, most: int) -> DataFrame:
             deep, _ = _leaves(s)
             out = _places(s[deep & (s["row"] != MARKER)])
             parts += cut_by(out["row"] % n, out, 1)
-        near = [_unpack_around(x) for k, x in zip(kinds, blocks, strict=True) if k == WORDS_AROUND]
-        del blocks, s
-        if near:
-            around, texts = np.concatenate([a for a, _ in near]), [t for _, ts in near for t in ts]
-            del near
-            out = np.concatenate(list(subtrees(around, texts, window, most)))
+        around, texts, seen = [], [], {}
+        for x in [x for k, x in zip(kinds, blocks, strict=True) if k == WORDS_AROUND]:
+            records, near = _unpack_around(x)
+            around.append(records)
+            texts += map(seen.setdefault, near, near)
+        del blocks, seen, s
+        if around:
+            out = np.concatenate(list(subtrees(np.concatenate(around), texts, window, most)))
             parts += cut_by(out["row"] % n, out, 1)
         return pa.Table.from_batches(list(batches_of(parts)), GROUPED) if parts else GROUPED.empty_table()
 
