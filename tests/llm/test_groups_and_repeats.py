@@ -157,7 +157,7 @@ def repeats(rows, window):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("window, group", [(3, 4_096), (8, 5), (35, 4_096), (35, 0), (35, 16)])
+@pytest.mark.parametrize("window, group", [(3, 4_096), (8, 4_096), (8, 5), (35, 4_096), (35, 0), (35, 16)])
 def test_remove_repeats(spark, window, group):
     rng = random.Random(window)
     passage = [[rng.choice("abcdef") + rng.choice("xyz") for _ in range(rng.randint(window - 2, window * 3))] for _ in range(4)]
