@@ -11,9 +11,10 @@ signature with each partner's:
   2d + i of the p - 1 combinations, and 2d + i <= n/2 - 2s where s shingles are not frequent, so n//2 - 2s + 2 suffice.
 
 Sizes, shared shingles and places in the prefixes rule pairs out before they are made. First a signature's leading document
-meets the others; verified links join documents into components; then only pairs across components are made, by every
-reducer at most ``MOST`` times as many as it has signatures, in as many rounds as that takes. So no link that joins
-components is lost, and a group of copies costs a pair a document.
+meets the others of each worker, and the workers' leading ones the first of them; verified links join documents into components;
+then only pairs across components are made: those of a signature's first document with the others of all workers, then those of
+the next ones, by every reducer at most ``MOST`` times as many as it has signatures, in as many rounds as that takes. So no link
+that joins components is lost, and a group of copies costs a few pairs a document.
 """
 
 from __future__ import annotations
@@ -300,6 +301,8 @@ def _pairs(docs: DataFrame, n: int, begun: Mapping[int, int] | None = None) -> t
     """Candidate pairs ``a, b`` of documents with different labels that share a signature; and the reducers that have more to do, with the document they came to.
 
     At first (``begun`` is None) only each signature's first document meets the others, those that a worker sees together there.
+    What a worker's first document met there has not met the first one of all: the rounds begin with number 0, and as its links
+    spare most other pairs, they are verified before more are made.
     """
 
     def local(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -312,7 +315,7 @@ def _pairs(docs: DataFrame, n: int, begun: Mapping[int, int] | None = None) -> t
         kinds, data, own = blocks.column("kind").to_numpy(), blocks.column("block").to_pylist(), key[0].as_py()
         parts = [(own, 1, x) for k, x in zip(kinds, data, strict=True) if k == 1]
         x = unpack([x for k, x in zip(kinds, data, strict=True) if k == 0], SIGNED)
-        pairs, _, to = _meet(x, 0, 1) if begun is None else _meet(x, begun[own], None, max(50_000, MOST * len(x)))
+        pairs, _, to = _meet(x, 0, 1) if begun is None else _meet(x, begun[own], None, max(50_000, MOST * len(x)) if begun[own] else 0)
         pair = np.empty(len(pairs), PAIR)
         pair["a"], pair["b"] = pairs[:, 0], pairs[:, 1]
         parts += cut_by(pair["a"] % n, pair, 1)
@@ -431,7 +434,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release(spark)
     pairs, _ = _pairs(signed.withColumn("label", F.col("row")), n)
     links = stage(_links(pairs, signed))
-    label, begun = components(links), dict.fromkeys(range(n), 1)
+    label, begun = components(links), dict.fromkeys(range(n), 0)
     while begun:
         # only components that share a signature with another one can have a link between them left
         now = signed.join(label, "row", "left").withColumn("label", F.coalesce("label", "row"))

@@ -73,6 +73,21 @@ def test_similar_groups(spark, monkeypatch, local, frequent, most):
     assert collections.Counter(map(tuple, got)) == components(rows)
 
 
+def test_first_document_meets_those_of_other_workers(spark, monkeypatch):
+    """Near copies that are similar enough to the original alone, gathered by several workers: each has its link with the original."""
+    monkeypatch.setattr(jaccard, "GATHER", 500)
+    rng, rows = random.Random(7), []
+    for group in range(2):
+        base = [f"{group}w{i}" for i in range(200)]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(40):
+            at = {6 * place + rng.randrange(2) for place in rng.sample(range(33), 5)}
+            rows.append((len(rows), " ".join(f"n{rng.randrange(10**9)}" if i in at else w for i, w in enumerate(base))))
+    rng.shuffle(rows)
+    got = collections.Counter(map(tuple, jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()))
+    assert got == components(rows) and {r[2] for r in got} == {0, 41}
+
+
 def test_similar_groups_empty(spark):
     assert jaccard.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = spark.createDataFrame([(1, None), (2, "lone words here")], "doc_id long, text string")
