@@ -301,8 +301,8 @@ def _pairs(docs: DataFrame, n: int, begun: Mapping[int, int] | None = None) -> t
     """Candidate pairs ``a, b`` of documents with different labels that share a signature; and the reducers that have more to do, with the document they came to.
 
     At first (``begun`` is None) only each signature's first document meets the others, those that a worker sees together there.
-    What a worker's first document met there has not met the first one of all: the rounds begin with number 0, and as its links
-    spare most other pairs, they are verified before more are made.
+    What a worker's first document met there has not met the first one of all: all reducers have more to do then, from number 0 on,
+    and as the first one's links spare most other pairs, they are verified before more are made.
     """
 
     def local(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -328,7 +328,10 @@ def _pairs(docs: DataFrame, n: int, begun: Mapping[int, int] | None = None) -> t
         return pa.table({"a": pa.array(pairs["a"], pa.int64()), "b": pa.array(pairs["b"], pa.int64())})
 
     made = stage(_signed(docs, n, local, begun).groupBy("bucket").applyInArrow(grouped, BLOCKS))
-    left = {r["bucket"]: int.from_bytes(r["block"], "little") for r in made.where("kind = 2").collect()}  # a row a reducer at most
+    if begun is None:
+        left = dict.fromkeys(range(n), 0)
+    else:
+        left = {r["bucket"]: int.from_bytes(r["block"], "little") for r in made.where("kind = 2").collect()}  # a row a reducer at most
     return stage(made.where("kind = 1").groupBy("bucket").applyInArrow(once, "a long, b long")), left
 
 
@@ -432,9 +435,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     signed = stage(_prefixed(reps, _counted(reps, n)))
     drop(reps)
     release(spark)
-    pairs, _ = _pairs(signed.withColumn("label", F.col("row")), n)
+    pairs, begun = _pairs(signed.withColumn("label", F.col("row")), n)
     links = stage(_links(pairs, signed))
-    label, begun = components(links), dict.fromkeys(range(n), 0)
+    label = components(links)
     while begun:
         # only components that share a signature with another one can have a link between them left
         now = signed.join(label, "row", "left").withColumn("label", F.coalesce("label", "row"))

@@ -140,6 +140,20 @@ def test_one_signature_of_many_documents():
     assert not len(jaccard._meet(of_one_signature(100, 80), 0)[0])  # each has a fifth of its own
 
 
+def test_rounds_make_every_pair(spark, monkeypatch):
+    """Of documents that nothing rules out, every two that share a signature are made a pair until no reducer has more to do, however workers gather them."""
+    monkeypatch.setattr(jaccard, "GATHER", 30)
+    share = [[1 << 60, i % 3 + 1 << 61] for i in range(40)]
+    rows = [(i, 100, 100, bytearray(np.array(s, np.uint64).tobytes()), 2, i) for i, s in enumerate(share)]
+    docs = spark.createDataFrame(rows, "row long, n long, m long, sig binary, rare long, label long").repartition(3)
+    (pairs, begun), seen = jaccard._pairs(docs, 3), set()
+    seen.update(map(tuple, pairs.collect()))
+    while begun:
+        pairs, begun = jaccard._pairs(docs, 3, begun)
+        seen.update(map(tuple, pairs.collect()))
+    assert seen == {(a, b) for b in range(40) for a in range(b)}
+
+
 def test_bounds_hold():
     """No bound rules out a pair that is similar enough, at the first signature that both have."""
     rng = np.random.default_rng(9)
