@@ -202,7 +202,7 @@ class Planner:
         while True:
             rel, rest = self._apply(rel, rest)
             if pending:
-                pending.sort(key=lambda s: (not (rel is None or s.vars & rel.bound or not s.vars), s.cost(rel)))
+                pending.sort(key=lambda s: (not (rel is None or s.vars & rel.bound or not s.vars), s.multiplies(rel), s.cost(rel)))
                 rel = self._join_scan(rel, pending.pop(0))
                 continue
             # what is left may bind: a disjunction, a call, then negations
@@ -237,21 +237,22 @@ class Planner:
         out: list[_Scan] = []
         for c in todo:
             if isinstance(c, _Given):
-                out.append(_Scan(frozenset(v for v in c.call.args if isinstance(v, Var)), lambda rel, c=c: self._given(c), 1))
+                out.append(_Scan(frozenset(v for v in c.call.args if isinstance(v, Var)), lambda rel, c=c: self._given(c), 1, key=frozenset(v for v in c.call.args if isinstance(v, Var))))
             elif isinstance(c, Pattern) and c.closure:
-                out.append(_Scan(frozenset(ast.variables(c)), lambda rel, c=c: self._closure(c, rel), 1, late=not (isinstance(c.e, Const) or isinstance(c.v, Const))))
+                out.append(_Scan(frozenset(ast.variables(c)), lambda rel, c=c: self._closure(c, rel), 1, late=not (isinstance(c.e, Const) or isinstance(c.v, Const)), key=frozenset(ast.variables(c))))
             elif isinstance(c, Pattern):
                 found = self.source.column(c.a)
                 if found is not None and not c.at:
                     fused.setdefault((found[0].name, c.e if c.e is not WILD else next(self.fresh)), []).append(c)
                 else:
-                    out.append(_Scan(frozenset(ast.variables(c)), lambda rel, c=c: self._fact_scan(c), sum(isinstance(x, Const) for x in (c.e, c.v))))
+                    out.append(_Scan(frozenset(ast.variables(c)), lambda rel, c=c: self._fact_scan(c), sum(isinstance(x, Const) for x in (c.e, c.v)), key=frozenset(ast.variables(c))))
         for ps in fused.values():
             t, e = self.source.column(ps[0].a)[0], ps[0].e
             inside = sum(p.e == e for p in ps) if isinstance(e, Var) else 0
             virtual = isinstance(e, Var) and t.key is None and uses[e] == inside and e not in needed and (seed is None or e not in seed.bound)
             vs = frozenset().union(*[ast.variables(p) for p in ps])
-            out.append(_Scan(vs, lambda rel, t=t, ps=ps, virtual=virtual: self._table_scan(t, ps, virtual), sum(isinstance(x, Const) for p in ps for x in (p.e, p.v))))
+            key = frozenset([e]) if isinstance(e, Var) else frozenset() if isinstance(e, Const) else None
+            out.append(_Scan(vs, lambda rel, t=t, ps=ps, virtual=virtual: self._table_scan(t, ps, virtual), sum(isinstance(x, Const) for p in ps for x in (p.e, p.v)), key=key))
         return out
 
     def _table_scan(self, t: MappedTable, ps: list[Pattern], virtual: bool) -> Relation:
@@ -537,6 +538,13 @@ class _Scan:
     make: object
     constants: int
     late: bool = False
+    key: frozenset[Var] | None = None
+
+    def multiplies(self, rel: Relation | None) -> bool:
+        """Whether rows of both sides may meet several of the other's, so that the join may have more rows than either."""
+        if rel is None or not self.vars & rel.bound:
+            return False
+        return not (self.key is not None and self.key <= rel.bound or rel.key is not None and rel.key <= self.vars)
 
     def cost(self, rel: Relation | None) -> tuple:
         return (self.late and not (rel is not None and self.vars & rel.bound), -self.constants, len(self.vars))
