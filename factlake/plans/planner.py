@@ -8,6 +8,7 @@ along shared variables whatever the clauses' order; predicates apply as soon as
 from __future__ import annotations
 
 import itertools
+import math
 from collections import Counter
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
@@ -203,7 +204,7 @@ class Planner:
             rel, rest = self._apply(rel, rest)
             if pending:
                 pending.sort(key=lambda s: (not (rel is None or s.vars & rel.bound or not s.vars), s.multiplies(rel), s.cost(rel)))
-                rel = self._join_scan(rel, pending.pop(0))
+                rel = self._join_scan(rel, pending.pop(0), rest)
                 continue
             # what is left may bind: a disjunction, a call, then negations
             nxt = next((c for c in rest if isinstance(c, (Or, RuleCall))), None)
@@ -337,14 +338,15 @@ class Planner:
         df = c.df.where(cond).select(*[F.col(x).alias(column_name(v)) for v, x in bound.items()])
         return Relation(df, frozenset(bound), frozenset(bound) if not any(a is WILD for a in c.call.args) else None)
 
-    def _join_scan(self, rel: Relation | None, scan: _Scan) -> Relation:
-        return self.join(rel, scan.make(rel))
+    def _join_scan(self, rel: Relation | None, scan: _Scan, later: list) -> Relation:
+        return self.join(rel, scan.make(rel), later)
 
-    def join(self, a: Relation | None, b: Relation) -> Relation:
-        """Natural join; a semi-join where ``b`` binds nothing new; a product where nothing is shared."""
+    def join(self, a: Relation | None, b: Relation, later: Iterable = ()) -> Relation:
+        """Natural join; a semi-join where ``b`` binds nothing new; a product where nothing is shared. ``later``: clauses still to be applied."""
         if a is None:
             return b
         shared = sorted(a.real & b.real, key=lambda v: v.name)
+        tied = any(isinstance(c, Pred) and c.fn == "=" and all(len(set(c.args) & (r.real - set(shared))) == 1 for r in (a, b)) for c in later)  # becomes a part of the join
         key = None
         if a.key is not None and b.key is not None:
             key = a.key if b.key <= set(shared) else b.key if a.key <= set(shared) else a.key | b.key
@@ -360,6 +362,8 @@ class Planner:
         both = a.nullable & b.nullable & set(shared)
         if b.bound <= a.bound and not b.virtual:
             return Relation(_join(a.df, b.df, names, "left_semi", both), key=a.key, **rest)
+        if not both and not tied and not any(r.key is not None and r.key <= set(shared) for r in (a, b)):
+            return Relation(_spread(a.df, b.df, names), key=key, **rest)
         return Relation(_join(a.df, b.df, names, "inner", both), key=key, **rest)
 
     def _apply(self, rel: Relation | None, rest: list) -> tuple[Relation | None, list]:
@@ -585,6 +589,41 @@ def _join(a: DataFrame, b: DataFrame, names: list[str], how: str, null_safe: fro
     return out.drop(*[f"__{n}" for n in names]) if how == "inner" else out
 
 
+#: Rows a side that meet in one task where a join multiplies, and the most tasks that it is dealt to.
+PIECE, TASKS = 4_096, 10_000
+
+
+def _size(df: DataFrame) -> int:
+    """Bytes, as the planner estimates them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _spread(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
+    """An inner join of which both sides may have many rows of a value: each side's are cut into pieces, and every piece meets every one of the other's.
+
+    Rows are counted first; where few pairs come out, this is an ordinary join. A pair's two pieces meet in one place only, so no pair comes twice.
+    """
+    if _size(a) * _size(b) < 1e10:
+        return a.join(b, names)
+    cols = [F.col(f"`{n}`") for n in names]
+    count = lambda df, n: df.groupBy(*cols).agg(F.count(F.lit(1)).alias(n))
+    sizes = count(a, "__a").join(count(b, "__b"), names).withColumn("__pairs", F.col("__a").cast("double") * F.col("__b"))
+    pairs = sizes.agg(F.sum("__pairs")).first()[0] or 0
+    if pairs < 8 * PIECE**2:
+        return a.join(b, names)
+    grid = stage(sizes.where(F.col("__pairs") > PIECE**2).select(*cols, *[F.ceil(F.col(n) / PIECE).alias(p) for n, p in (("__a", "__m"), ("__b", "__n"))]))
+
+    def dealt(df: DataFrame, own: str, other: str, place: str, copies: str) -> DataFrame:
+        at = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.coalesce(own, F.lit(1).cast("long")))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1).cast("long")) - 1))
+        put = df.join(grid, names, "left").select(*[F.col(f"`{c}`") for c in df.columns], at.alias(place), every.alias(copies))
+        return put.repartition(tasks, *cols, F.col("__i"), F.col("__j"))
+
+    tasks = min(TASKS, math.ceil(pairs / PIECE**2))
+    left, right = dealt(a, "__m", "__n", "__i", "__j"), dealt(b, "__n", "__m", "__j", "__i")
+    return left.hint("merge").join(right, [*names, "__i", "__j"]).drop("__i", "__j")
+
+
 def _union(dfs: list[DataFrame]) -> DataFrame:
     out = dfs[0]
     for d in dfs[1:]:

@@ -28,3 +28,18 @@ def test_joins_that_multiply_come_last(spark, monkeypatch):
     got = rows(db.query(TRIANGLE))
     assert met == [True, True, True]
     assert got == {(s % 2, s, c) for s, c in {(i % 6, i % 20 % 8) for i in range(50)} if s % 2 == c % 2}
+
+
+def test_a_join_that_multiplies_is_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr("factlake.plans.planner.PIECE", 32, raising=False)
+    db = Database(spark)
+    # one value has nearly all rows, others few or none on one side
+    a, b = [(i, 0 if i < 300 else i % 7) for i in range(330)], [(i, 0 if i < 200 else i % 9) for i in range(215)]
+    db.map_table("a", spark.createDataFrame(a, "id long, n long"), "id")
+    db.map_table("b", spark.createDataFrame(b, "id long, n long"), "id")
+    got = db.query("[:find ?x ?y :where [?x :a/n ?n] [?y :b/n ?n] [(> ?x ?y)]]")
+    parts = got.rdd.glom().map(lambda p: [tuple(r) for r in p]).collect()
+    found = [r for p in parts for r in p]
+    assert len(found) == len(set(found)) and set(found) == {(x, y) for x, n in a for y, m in b if n == m and x > y}
+    assert max(map(len, parts)) < len(found) / 8
+    assert rows(db.query("[:find ?x :where [?x :a/n ?n] [?y :b/n ?n] [(= ?x ?y)]]")) == {(x,) for x, n in a if (x, n) in b}
