@@ -22,7 +22,7 @@ from ..functions.aggregates import AGGREGATES
 from ..plans.ast import Agg, Bind, Const, Pattern, Pred, Query, QueryError, Var, variables
 from ..plans.planner import _equals, _result_names, column_name, constant
 from ..storage import shared_dir
-from .zset import MULT, ZSet, transitions
+from .zset import MULT, ZSet, merged, transitions
 
 
 def supported(q: Query) -> bool:
@@ -64,6 +64,11 @@ class Part:
                 return cls.local(df.sparkSession, rows, df.schema)
         return cls.written(df)
 
+    def fetched(self) -> Part:
+        """With the driver, if it has few rows."""
+        rows = self.df.limit(SMALL + 1).toArrow() if self.path else None  # bounded
+        return self if rows is None or len(rows) > SMALL else Part.local(self.df.sparkSession, rows, self.df.schema)
+
     @classmethod
     def local(cls, spark: SparkSession, rows: pa.Table, schema: object) -> Part:
         """Rows of the driver; a frame that is made from Arrow has a size that the planner knows."""
@@ -203,6 +208,7 @@ class LiveView:
             raise QueryError("the first batch must have every attribute of the query")
         first = not all(logs)
         deltas = [Part.summed(self._bound(p, changes[p.a]).df, large=first) if p.a in changes else None for p in self.patterns]
+        large = first or any(d is not None and d.path for d in deltas)  # then nothing is looked up: a state and a change meet in one grouping
         old = [list(o.parts) for o in logs]
         for o, d in zip(logs, deltas, strict=True):
             if d is not None:
@@ -216,49 +222,52 @@ class LiveView:
                 if j != i:
                     sides[j] = Log()
                     sides[j].parts = logs[j].parts if j < i else old[j]
-            term = ZSet(d.df) if exact or len(self.patterns) == 0 else self._moved(old[i], d)
+            term = ZSet(d.df) if exact or len(self.patterns) == 0 else self._moved(old[i], d, large)
             while sides:  # along shared variables first
                 j = next((k for k in sides if set(self._columns(k)) & set(term.columns)), next(iter(sides)))
                 cols = [c for c in self._columns(j) if c in term.columns]
                 own = sides.pop(j)
                 table = d.table if d.table is not None and set(cols) <= set(d.table.column_names) else None
-                near = own.some(table, cols) if first or exact else own.near(term.df, cols, table)
+                near = own.some(table, cols) if large or exact else own.near(term.df, cols, table)
                 term = term.join(ZSet(near) if exact else ZSet(near).distinct())
             total = term if total is None else total + term
         if total is None:
             raise QueryError("nothing changed")
-        moved = Part.summed(self._filtered(total).df, large=first)
+        moved = Part.summed(self._filtered(total).df, large=large)
         for o, parts, d in zip(logs, old, deltas, strict=True):
             o.parts = parts
             if d is not None:
                 o.add(d)
-        return ZSet((self._grouped(moved, first) if self.linear else self._touched(moved, first) if self.query.aggregates else self._projected(moved, first)).df)
+        return ZSet((self._grouped(moved, large) if self.linear else self._touched(moved, large) if self.query.aggregates else self._projected(moved, large)).df)
 
     def _columns(self, i: int) -> list[str]:
         p = self.patterns[i]
         return list(dict.fromkeys(column_name(x) for x in (p.e, p.v) if isinstance(x, Var)))
 
-    def _moved(self, old: list[Part], d: Part) -> ZSet:
+    def _moved(self, old: list[Part], d: Part, large: bool) -> ZSet:
         """Which facts of a change appear or disappear."""
         if not old:
             return ZSet(d.df).distinct()
         log = Log()
         log.parts = old
+        if large:
+            return merged(ZSet(log.frames()), ZSet(d.df))
         cols = [c for c in d.df.columns if c != MULT]
         return transitions(ZSet(_summed(log.near(d.df, cols))), ZSet(d.df))[0]
 
-    def _projected(self, moved: Part, first: bool) -> Part:
+    def _projected(self, moved: Part, large: bool) -> Part:
         cols = [F.col(f"`{column_name(x)}`").alias(n) for x, n in zip(self.query.find, self.names, strict=True)]
         change, result = ZSet(moved.df).map(*cols), self.state["result"]
         bound = {column_name(v) for c in self.query.where for v in variables(c)}
         if {column_name(x) for x in self.query.find} >= bound:  # a binding is a row
-            out = Part(change.df, moved.path, moved.rows) if moved.path is None else Part.of(change.df, first)
+            kept = out = Part.of(change.df, large)
         else:
-            change = change.consolidate()
-            before = ZSet(_summed(result.near(change.df, self.names)) if result else change.df.limit(0))
-            out = Part.of(transitions(before, change)[0].df, first)
-            change = ZSet(Part.of(change.df, first).df)
-        kept = Part.of(change.df, first)
+            kept = Part.summed(change.df, large=large)
+            if large and result:
+                out = Part.written(merged(ZSet(result.frames()), ZSet(kept.df)).df)
+            else:
+                before = ZSet(_summed(result.near(kept.df, self.names, kept.table)) if result else kept.df.limit(0))
+                out = Part.of(transitions(before, ZSet(kept.df))[0].df, large)
         result.add(kept)
         return out
 
@@ -277,7 +286,7 @@ class LiveView:
             i += 1
         return out
 
-    def _grouped(self, moved: Part, first: bool) -> Part:
+    def _grouped(self, moved: Part, large: bool) -> Part:
         """Linear aggregates: each group's sums are added to."""
         groups, log = self._groups(), self.state["groups"]
         aggs = [x for x in self.query.find if isinstance(x, Agg)]
@@ -290,36 +299,38 @@ class LiveView:
         names, all_sums = [n for _, n in groups], list(sums)
         keys = [F.col(f"`{c}`").alias(n) for c, n in groups]
         if groups:
-            delta = Part.summed(moved.df.select(*keys, *[c.alias(n) for n, c in sums.items()]), all_sums, first)
+            delta = Part.summed(moved.df.select(*keys, *[c.alias(n) for n, c in sums.items()]), all_sums, large).fetched()
         else:
             delta = Part.of(moved.df.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()]))
         touched = delta.df.select(*[F.col(f"`{n}`") for n in names])
-        old = Part.summed(log.near(touched, names, delta.table), all_sums, first) if log else None
+        old = Part.summed(log.near(touched, names, delta.table), all_sums, delta.path is not None) if log else None
         had = bool(log)
         log.add(delta, all_sums)
         one = lambda df: ZSet.of((df.where("__n <> 0") if names else df).select(*self._final("__")))
         if not had:
             return Part(one(delta.df).df)
-        now = Part.summed(old.df.unionByName(delta.df), all_sums)
-        return Part.summed((one(now.df) - one(old.df)).df)
+        now = Part.summed(old.df.unionByName(delta.df), all_sums, delta.path is not None)
+        return Part.summed((one(now.df) - one(old.df)).df, large=delta.path is not None)
 
-    def _touched(self, moved: Part, first: bool) -> Part:
+    def _touched(self, moved: Part, large: bool) -> Part:
         """Other aggregates: again from the bindings of groups that changed."""
         groups, log, result = self._groups(), self.state["bindings"], self.state["result"]
         log.add(moved)
-        now = ZSet(log.near(moved.df, [c for c, _ in groups])).consolidate().df.where(f"{MULT} > 0")
+        own = [c for c, _ in groups]
+        keys = Part.of(moved.df.select(*[F.col(f"`{c}`") for c in own]).distinct()) if large and groups else moved
+        now = ZSet(log.near(keys.df, own, keys.table)).consolidate().df.where(f"{MULT} > 0")
         made = []
         for x, n in zip(self.query.find, self.names, strict=True):
             if isinstance(x, Agg):
                 c, t = (F.lit(1), None) if x.fn == "count" else (F.col(f"`{column_name(x.arg)}`"), now.schema[column_name(x.arg)].dataType)
                 made.append(AGGREGATES[x.fn].make(c, t, *x.params).alias(n))
         out = now.groupBy(*[F.col(f"`{c}`").alias(n) for c, n in groups]).agg(*made) if groups else now.agg(*made)
-        new = ZSet(Part.of(ZSet.of(out.select(*[F.col(f"`{n}`") for n in self.names])).df, first).df)
+        new = ZSet(Part.of(ZSet.of(out.select(*[F.col(f"`{n}`") for n in self.names])).df, keys.path is not None).df)
         if result:
             names = [n for _, n in groups]
-            gone = result.near(moved.df.select(*[F.col(f"`{c}`").alias(n) for c, n in groups]), names)
+            gone = result.near(keys.df.select(*[F.col(f"`{c}`").alias(n) for c, n in groups]), names)
             new = new - ZSet(gone)
-        change = Part.summed(new.df, large=first)
+        change = Part.summed(new.df, large=keys.path is not None)
         result.add(change)
         return change
 

@@ -98,3 +98,12 @@ def transitions(before: ZSet, change: ZSet) -> tuple[ZSet, ZSet]:
     sign = (now > 0).cast("long") - (was > 0).cast("long")
     moved = both.select(*[F.col(f"n.`{c}`").alias(c) for c in cols], sign.alias(MULT)).where(f"{MULT} <> 0")
     return ZSet(moved), (before + change).consolidate()
+
+
+def merged(before: ZSet, change: ZSet) -> ZSet:
+    """The first of :func:`transitions` by one grouping of both: for a change too large to look up what it meets. Neither need be consolidated."""
+    cols, none = change.columns, F.lit(0).cast("long")
+    own = [z.df.select(*change._cols(), o.alias("__o"), d.alias("__d")) for z, o, d in ((before, F.col(MULT), none), (change, none, F.col(MULT)))]
+    sums = own[0].unionByName(own[1]).groupBy(*change._cols()).agg(F.sum("__o").alias("__o"), F.sum("__d").alias("__d")).where("__d <> 0")
+    sign = (F.col("__o") + F.col("__d") > 0).cast("long") - (F.col("__o") > 0).cast("long")
+    return ZSet(sums.select(*[F.col(f"`{c}`") for c in cols], sign.alias(MULT)).where(f"{MULT} <> 0"))

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from factlake.db import Database
 from factlake.plans import ast
-from factlake.streaming.live import LiveView
+from factlake.streaming.live import LiveView, Log
 from factlake.streaming.micro_batch import maintain
 from factlake.streaming.zset import ZSet
 
@@ -111,3 +111,24 @@ def test_restart_goes_on_from_written_state(spark, tmp_path):
         q.awaitTermination(120)
     assert seen == [(0, {("x", 5.0, 5.0, 1)}), (1, {("x", 5.0, 5.0, -1), ("x", 13.0, 7.0, 1)})]
     assert {tuple(r) for r in view.result().collect()} == {("x", 13.0, 7.0)}
+
+
+@pytest.mark.parametrize("query", ["[:find ?g (count ?x) (sum ?v) :where [?x :g ?g] [?x :v ?v]]", "[:find ?g (median ?v) (max ?v) :where [?x :g ?g] [?x :v ?v]]", "[:find ?g ?v :where [?x :g ?g] [?x :v ?v]]"])
+def test_large_changes_look_nothing_up_row_by_row(spark, monkeypatch, query):
+    shape = "e long, v long, mult long"
+    script = [[(e, 1) for e in range(0, 30)], [(e, 1) for e in range(20, 50)], [(e, -1) for e in range(10, 40)] + [(99, 1)]]
+    own, seen = Log.near, []
+    monkeypatch.setattr(Log, "near", lambda self, keys, cols, table=None: seen.append(keys.count()) or own(self, keys, cols, table))
+
+    def told(small):
+        monkeypatch.setattr("factlake.streaming.live.SMALL", small)
+        view, out = LiveView(ast.parse(query)), []
+        for batch in script:
+            z = view.apply({a: spark.createDataFrame([(e, f(e), m) for e, m in batch], shape) for a, f in ((":g", lambda e: e % 3), (":v", lambda e: None if e == 99 else e % 5))})
+            out.append({tuple(r) for r in z.df.collect() if r["mult"]})
+        return out, {tuple(r) for r in view.result().collect()}
+
+    few = told(5_000)
+    seen.clear()
+    assert told(4) == few
+    assert max(seen, default=0) <= 4
