@@ -364,6 +364,8 @@ class Planner:
             return Relation(_join(a.df, b.df, names, "left_semi", both), key=a.key, **rest)
         if not both and not tied and not any(r.key is not None and r.key <= set(shared) for r in (a, b)):
             return Relation(_spread(a.df, b.df, names), key=key, **rest)
+        if not both and (key is None or key & rest["virtual"]):  # rows that are made distinct later, in the same tasks
+            return Relation(_parted(a.df, b.df, names), key=key, **rest)
         return Relation(_join(a.df, b.df, names, "inner", both), key=key, **rest)
 
     def _apply(self, rel: Relation | None, rest: list) -> tuple[Relation | None, list]:
@@ -598,6 +600,22 @@ def _size(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Bytes of files for each task of a join whose rows are made distinct: it sorts both sides and holds its distinct rows at once.
+SHARE = 8_000_000
+
+
+def _parted(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
+    """An inner join in tasks whose number follows the files that are read; an ordinary one where they are few or one side may be broadcast."""
+    leaves = [df._jdf.queryExecution().optimizedPlan().collectLeaves() for df in (a, b)]
+    read = sum(int(str(x.apply(i).stats().sizeInBytes())) for x in leaves for i in range(x.size()))
+    tasks = min(TASKS, math.ceil(read / SHARE))
+    few = a._jdf.sparkSession().sessionState().conf().autoBroadcastJoinThreshold()
+    if tasks <= 8 or read > 1e17 or min(_size(a), _size(b)) <= few:  # a frame that isn't of files may have no known size
+        return a.join(b, names)
+    cols = [F.col(f"`{n}`") for n in names]
+    return a.repartition(tasks, *cols).join(b.repartition(tasks, *cols), names)
+
+
 def _spread(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
     """An inner join of which both sides may have many rows of a value: each side's are cut into pieces, and every piece meets every one of the other's.
 

@@ -43,3 +43,22 @@ def test_a_join_that_multiplies_is_dealt_to_many_tasks(spark, monkeypatch):
     assert len(found) == len(set(found)) and set(found) == {(x, y) for x, n in a for y, m in b if n == m and x > y}
     assert max(map(len, parts)) < len(found) / 8
     assert rows(db.query("[:find ?x :where [?x :a/n ?n] [?y :b/n ?n] [(= ?x ?y)]]")) == {(x,) for x, n in a if (x, n) in b}
+
+
+def test_tasks_of_a_distinct_join_follow_the_input(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("factlake.plans.planner.SHARE", 1_000, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = []
+        for size in (2_000, 8_000):
+            spark.range(size).selectExpr("id", "hash(id) AS day").coalesce(1).write.parquet(f"{tmp_path}/o{size}")
+            spark.range(2 * size).selectExpr("id div 4 AS o", "id % 3 AS s").coalesce(1).write.parquet(f"{tmp_path}/l{size}")
+            db = Database(spark)
+            db.map_table("o", spark.read.parquet(f"{tmp_path}/o{size}"), "id")
+            db.map_table("l", spark.read.parquet(f"{tmp_path}/l{size}"), None)
+            got = db.query("[:find ?o ?s ?d :where [?l :l/o ?o] [?l :l/s ?s] [?o :o/day ?d]]")
+            parts.append(got.rdd.getNumPartitions())
+            assert got.count() == len({(i // 4, i % 3) for i in range(2 * size)})
+        assert parts[0] > 8 and parts[1] > 2 * parts[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
