@@ -172,7 +172,7 @@ register("store_restore", EACH.format(" WHERE event_id + 1 <= 300"), _changed(la
 register("store_delete", EACH.format(" WHERE user_id <> 7 AND NOT (user_id = 8 AND event_type = 'click')"), _changed(lambda s: (s.delete(7), s.delete(8, ":user/click"))))
 made("store_point_get", "SELECT user_id AS e, event_type AS a, event_id + 1 AS tx, value AS v FROM events WHERE user_id IN (3, 5) AND event_type IN ('view', 'error')", "e long, a string, tx long, v double",
      lambda spark, d: [(f.e, f.a[6:], f.tx_id, f.v) for fs in stored(spark, d).of([(e, f":user/{a}") for e in (3, 5) for a in ("view", "error")]).values() for f in fs])
-made("store_stream_scan", "SELECT row_number() OVER (ORDER BY event_id) AS i, user_id AS e, value AS v FROM events WHERE event_type = 'signup'", "i long, e long, v double", lambda spark, d: [(i, f.e, f.v) for i, f in enumerate(stored(spark, d).stream(":user/signup"), 1)])
+register("store_stream_scan", "SELECT row_number() OVER (ORDER BY event_id) AS i, user_id AS e, value AS v FROM events WHERE event_type = 'signup'", lambda spark, d: stored(spark, d).numbered(":user/signup").select("i", "e", F.col("v_double").alias("v")))
 made("store_kinds", "SELECT DISTINCT concat(':user/', event_type) AS a, 'double' AS kind, false AS many FROM events", "a string, kind string, many boolean", lambda spark, d: [(a, *k, m) for a, (k, m) in stored(spark, d).attributes().items()])
 register("store_query", "SELECT user_id AS e, value AS v FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1", lambda spark, d: Database(spark, stored(spark, d)).query("[:find ?e ?v :where [?e :user/error ?v]]", names=["e", "v"]))
 

@@ -162,3 +162,22 @@ def test_unlike_types_and_unknown_functions(db):
     for bad in ("[:find ?n :where [?e :name ?n] [(nope ?n)]]", "[:find ?x :where [?e :name ?n]]", "[:find ?n :where [?e :name ?n] [(> ?m 1)]]"):
         with pytest.raises(QueryError):
             db.query(bad)
+
+
+def test_a_streaming_scan_is_numbered_without_the_driver(spark, tmp_path, monkeypatch):
+    from factlake.sources.frames import facts
+    from factlake.sources.store import Store
+
+    store = ParquetStore(spark, f"{tmp_path}/s")
+    own = spark.range(0, 500, 1, 7).selectExpr("id", "(id * 37) % 500 AS at")
+    for part in (own.where("id < 300"), own.where("id >= 300")):
+        store.append_frame(facts(part, "id", "concat(':x/', at % 2)", "double", "double(at)", "at + 1"))
+    got = {r["i"]: (r["e"], r["v_double"]) for r in store.numbered(":x/1").collect()}
+    assert got == {i: (f.e, f.v) for i, f in enumerate(store.stream(":x/1"), 1)} and len(got) == 250
+    assert [store.numbered(a).count() for a in (None, ":x/2")] == [500, 0]
+    # the registered query takes it so
+    monkeypatch.setattr(Store, "stream", lambda *_: pytest.fail("rows pass the driver"))
+    from factlake import fact_queries, queries  # noqa: F401
+
+    found = queries.QUERIES["store_stream_scan"](spark, "/root/testdata/sf0.001")
+    assert sorted(r["i"] for r in found.select("i").collect()) == list(range(1, found.count() + 1))
