@@ -1,19 +1,156 @@
 """Fast exact encoding with files of the ``tokenizers`` library.
 
 A pre-token never crosses the places where the text is cut here (before a single blank, around a single line
-feed), so encoding the pieces and joining their ids equals encoding the text. The library encodes each distinct
-piece once; its ids are remembered, up to a fixed number of pieces, by the worker process. Texts that hold an added
-token (``<|endoftext|>``) go to the library whole.
+feed), so encoding the pieces and joining their ids equals encoding the text. Each distinct piece is encoded once; its
+ids are remembered, up to a fixed number of pieces, by the worker process. Pieces of Latin letters and ASCII marks
+behind them are encoded here, many words at a time, with the file's own merges; all others by the library. Texts
+that hold an added token (``<|endoftext|>``) go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from itertools import compress
+from operator import add
 
 import numpy as np
 
 #: Remembered pieces a worker, at about 150 bytes; pieces that the library encodes as one text.
 MOST, TOGETHER = 500_000, 64
+#: Letters that have one lower form and no other composed one (U+0130 has two characters), as Unicode has them since version 5.
+LATIN = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\u012f\u0131-\u024f]+")
+#: Marks that may end a piece; an apostrophe may begin a pre-token with letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters of the longest word, and number of words, that are merged here together: a round handles all of them for one merge each.
+LONGEST, WORDS = 64, 16_384
+
+
+class Merges:
+    """A file's byte pair merges, applied to many words at once; ``of`` is None if the file has anything else to it."""
+
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    BITS, SLOTS, NONE = 21, 19, np.uint64((1 << 64) - 1)
+    _ODD, _LOW = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 21) - 1)
+    #: Rank of a pair that isn't merged.
+    NEVER = 1 << 30
+
+    @classmethod
+    def of(cls, file: dict) -> Merges | None:
+        """Merges of a file whose pre-tokens are runs of letters, or of marks, in one of the two known ways."""
+        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+        lower = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+        split = {"type": "Split", "pattern": {"Regex": cls.SPLIT}, "behavior": "Removed", "invert": True}
+        known = [(None, level | {"use_regex": True}), (lower, {"type": "Sequence", "pretokenizers": [split, level | {"use_regex": False}]})]
+        model, way = file["model"], (file.get("normalizer"), file.get("pre_tokenizer"))
+        if way not in known or model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            return None
+        if file.get("post_processor") or file.get("truncation") or file.get("padding"):
+            return None
+        vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        # the characters that stand for bytes
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        chars = dict(zip([*own, *(b for b in range(256) if b not in own)], map(chr, [*own, *range(256, 324)]), strict=True))
+        made: dict[str, int] = {}
+        for r, (a, b) in enumerate(merges):
+            made[a + b] = r
+        # a merge comes after those that make its parts, so a merge never gives rise to an earlier one
+        if any(max(made.get(a, -1), made.get(b, -1)) >= r for r, (a, b) in enumerate(merges)) or len(set(merges)) != len(merges):
+            return None
+        if any(x + e not in vocab for x in chars.values() for e in ("", end)) or any(a + b not in vocab for a, b in merges) or max(len(merges), *vocab.values()) > cls._LOW:
+            return None
+        return cls(vocab, merges, [chars[b] for b in range(256)], end, way[0] is not None)
+
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], chars: list[str], end: str, lower: bool):
+        self.lower = lower
+        self.first, self.last = (np.array([vocab[c + e] for c in chars], np.uint32) for e in ("", end))
+        self.made = np.array([vocab[a + b] for a, b in merges], np.uint32)
+        key = np.array([vocab[a] << self.BITS | vocab[b] for a, b in merges], np.uint64)
+        # open addressing; a slot holds a pair and its rank
+        self.slots = np.full((1 << self.SLOTS) if len(key) < 1 << (self.SLOTS - 2) else 4 << len(key).bit_length(), self.NONE)
+        self.shift = np.uint64(65 - len(self.slots).bit_length())
+        for at, entry in zip((key * self._ODD >> self.shift).tolist(), (key << np.uint64(self.BITS) | np.arange(len(key), dtype=np.uint64)).tolist(), strict=True):
+            while self.slots[at] != self.NONE:
+                at = (at + 1) % len(self.slots)
+            self.slots[at] = entry
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair."""
+        bits = np.uint64(self.BITS)
+        key = a.astype(np.uint64) << bits | b
+        at = (key * self._ODD >> self.shift).astype(np.int64)
+        entry = self.slots[at]
+        same = entry >> bits == key
+        out = np.where(same, entry & self._LOW, self.NEVER).astype(np.int32)
+        left = np.flatnonzero(~same & (entry != self.NONE))
+        while len(left):
+            at[left] = (at[left] + 1) % len(self.slots)
+            entry = self.slots[at[left]]
+            same = entry >> bits == key[left]
+            out[left[same]] = entry[same] & self._LOW
+            left = left[~same & (entry != self.NONE)]
+        return out
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """The ids of words without line feeds, none empty, each a whole pre-token."""
+        out: list[bytes] = []
+        for i in range(0, len(words), WORDS):
+            out += self._some(words[i : i + WORDS])
+        return out
+
+    def _some(self, words: list[str]) -> list[bytes]:
+        raw = np.frombuffer(("\n".join(words) + "\n").encode(), np.uint8)
+        ends = np.flatnonzero(raw == 10)
+        sizes = np.diff(ends, prepend=-1) - 1
+        sym = self.first[raw]
+        sym[ends - 1] = self.last[raw[ends - 1]]
+        sym = sym[raw != 10]
+        own, starts = np.arange(len(words)), np.cumsum(sizes) - sizes
+        rank = np.full(len(sym), self.NEVER, np.int32)
+        rank[:-1] = self._ranks(sym[:-1], sym[1:])
+        rank[starts + sizes - 1] = self.NEVER
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(own):
+            least = np.minimum.reduceat(rank, starts)
+            open_ = least < self.NEVER
+            if not open_.all():
+                keep = np.repeat(open_, sizes)
+                done.append((own[~open_], sizes[~open_], sym[~keep]))
+                sym, rank, own, sizes, least = sym[keep], rank[keep], own[open_], sizes[open_], least[open_]
+                starts = np.cumsum(sizes) - sizes
+                if not len(own):
+                    break
+            hit = rank == np.repeat(least, sizes)
+            at = np.flatnonzero(hit)
+            near = np.diff(at, prepend=-2) == 1
+            if near.any():  # of pairs that share a symbol the left one is merged
+                run = np.maximum.accumulate(np.where(near, -1, at))
+                at = at[(at - run) % 2 == 0]
+            sym[at] = self.made[rank[at]]
+            # a merged pair's right symbol goes, with the rank of the pair that it began; whether that was its word's last stays to be seen
+            final = np.zeros(len(sym), bool)
+            final[starts + sizes - 1] = True
+            final[at] = final[at + 1]
+            kept = np.ones(len(sym), bool)
+            kept[at + 1] = False
+            sizes = np.add.reduceat(kept, starts, dtype=np.int64)
+            new = np.cumsum(kept)[at] - 1
+            sym, rank, final = sym[kept], rank[kept], final[kept]
+            starts = np.cumsum(sizes) - sizes
+            rank[new] = self.NEVER
+            ask = np.concatenate([new, new[new > 0] - 1])
+            ask = ask[~final[ask]]
+            rank[ask] = self._ranks(sym[ask], sym[ask + 1])
+        sizes, placed = np.empty(len(words), np.int64), np.empty(sum(len(s) for _, _, s in done), "<u4")
+        for w, n, _ in done:
+            sizes[w] = n
+        starts = np.cumsum(sizes) - sizes
+        for w, n, s in done:
+            placed[np.repeat(starts[w] - (np.cumsum(n) - n), n) + np.arange(len(s))] = s
+        text, cuts = placed.tobytes(), (4 * starts).tolist()
+        return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
 
 
 class Encoder:
@@ -36,6 +173,9 @@ class Encoder:
         self.sep = int.from_bytes(sep, "little") if len(sep) == 4 else None
         self.ids: dict[str, bytes] = {}
         self.odd: set[str] = set()
+        with open(path, encoding="utf-8") as f:
+            self.merges = Merges.of(json.load(f))
+        self.tails: dict[str, bytes] = {"": b""}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -54,11 +194,32 @@ class Encoder:
             out += [raw[a:b] for a, b in zip([0, *[x + 4 for x in ends]], [*ends, len(raw)], strict=True)]
         return out
 
+    def _letters(self, words: list[str], key: str, lead: str, front: bytes) -> list[str]:
+        """Learns pieces of letters, and marks behind them, that can be merged here; returns the others."""
+        cores = [w.rstrip(MARKS) for w in words]
+        fit = [c.isalpha() and (c.isascii() or LATIN.fullmatch(c) is not None) and len(c) <= LONGEST for c in cores]
+        rest = [w for w, f in zip(words, fit, strict=True) if not f]
+        if rest:
+            words, cores = list(compress(words, fit)), list(compress(cores, fit))
+        if not words:
+            return rest
+        tails = [w[len(c) :] for w, c in zip(words, cores, strict=True)]
+        if self.merges.lower:
+            cores = "\n".join(cores).lower().split("\n")
+        each = list(set(cores))
+        ids = dict(zip(each, self.merges.ids([lead + c for c in each] if lead else each), strict=True))
+        ends = list(set(tails).difference(self.tails))
+        self.tails.update(zip(ends, self._raw(ends), strict=True))
+        found = map(add, map(ids.__getitem__, cores), map(self.tails.__getitem__, tails))
+        self.ids.update(zip([key + w for w in words], [front + x for x in found], strict=True) if key else zip(words, found, strict=True))
+        return rest
+
     def _learn(self, new: set[str]) -> None:
         todo = new.difference(self.ids)
         if len(self.ids) + len(todo) > MOST:
             self.ids.clear()
             self.odd.clear()
+            self.tails = {"": b""}
             todo = new
         starts = [w for w in todo if w[0] == "\n"]
         for key, lead, front, words in (("", " " if self.spaced else "", b"", list(todo.difference(starts))), ("\n", "", self.feed, [w[1:] for w in starts])):
@@ -67,6 +228,8 @@ class Encoder:
                 self.odd.update(key + w for w in other)
                 self.ids.update(zip([key + w for w in other], self._raw([lead + w for w in other]), strict=True))
                 words = [w for w in words if w.split() == [w]]
+            if self.merges:
+                words = self._letters(words, key, lead, front)
             for i in range(0, len(words), 16_384):
                 part = words[i : i + 16_384]
                 found = self._pieces(part, lead) if self.sep is not None else self._raw([lead + w for w in part])

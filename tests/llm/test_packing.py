@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from factlake.llm import packing
+from factlake.llm import packing, tokenizing
 from factlake.llm.tokenizing import Encoder, public
 
 
@@ -73,3 +73,27 @@ def test_pack_documents(spark):
     assert all(r["n_ids"] <= 1024 and len(r["ids"]) == 4 * r["n_ids"] for r in seqs)
     assert sum(r["n_ids"] for r in seqs) == sum(r["length"] for r in out)
     assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_merged_here_equal_the_library(name):
+    rng = random.Random(8)
+    letters = [chr(c) for c in range(0x260) if chr(c).isalpha()]
+    words = [*letters, *(a + b for a in letters for b in "aIİ"), "a" * 64, "a" * 65, "aaa", "aaaaa", "abab" * 9, "µªº", "ΣσΣ", "éa", "́", "x'llama", "'sa", "a'", "dǅ"]
+    words += ["".join(rng.choices("etaoinshrdluETAN" if rng.random() < 0.7 else letters, k=rng.randint(1, 20))) for _ in range(20_000)]
+    words += [w + "".join(rng.choices(tokenizing.MARKS + "'", k=rng.randint(1, 3))) for w in words[::3]]
+    texts = [" ".join(words[i : i + 50]).replace("t", "t\n", 1) for i in range(0, len(words), 50)] + words[:2000] + ["\n" + w for w in words[:200]]
+    lib = Tokenizer.from_file(public(name))
+    assert Encoder(public(name)).encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_plain_words_are_not_encoded_by_the_library(name):
+    enc, sent = Encoder(public(name)), []
+    raw, pieces = enc._raw, enc._pieces
+    enc._raw = lambda texts: sent.extend(texts) or raw(texts)
+    enc._pieces = lambda words, lead: sent.extend(words) or pieces(words, lead)
+    enc.encode(["The cat, Éan sat.\nOn one mat!", "don't 12"])
+    assert sorted(sent) == ["!", ",", ".", "12", "don't"]
+    enc.encode(["Mat, sat! The."])
+    assert len(sent) == 5
