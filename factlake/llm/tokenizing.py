@@ -1,9 +1,9 @@
 """Fast exact encoding with files of the ``tokenizers`` library.
 
 A pre-token never crosses the places where the text is cut here (before a single blank, around a single line
-feed), so encoding the pieces and joining their ids equals encoding the text. Each distinct piece is encoded once; its
-ids are remembered, up to a fixed number of pieces, by the worker process. Pieces of Latin letters and ASCII marks
-behind them are encoded here, many words at a time, with the file's own merges; all others by the library. Texts
+feed), so encoding the pieces and joining their ids equals encoding the text. Distinct pieces of Latin letters and
+ASCII marks behind them are encoded here, many words at a time, with the file's own merges; all others by the library,
+whose ids are remembered, up to a fixed number of pieces, by the worker process. Texts
 that hold an added token (``<|endoftext|>``) go to the library whole.
 """
 
@@ -11,18 +11,16 @@ from __future__ import annotations
 
 import json
 import os
-import re
-from itertools import compress
-from operator import add
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Remembered pieces a worker, at about 150 bytes; pieces that the library encodes as one text.
 MOST, TOGETHER = 500_000, 64
-#: Letters that have one lower form and no other composed one (U+0130 has two characters), as Unicode has them since version 5.
-LATIN = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\u012f\u0131-\u024f]+")
-#: Marks that may end a piece; an apostrophe may begin a pre-token with letters.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A piece that is Latin letters, then ASCII marks, but no apostrophe, which may begin a pre-token with letters. The letters are those of
+#: Unicode 5 below U+0250 that have one lower form of one character, so not U+0130; none of them is composed with another.
+PLAIN = r"\A(?P<feed>\n?)(?P<core>[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)\z"
 #: Letters of the longest word, and number of words, that are merged here together: a round handles all of them for one merge each.
 LONGEST, WORDS = 64, 16_384
 
@@ -93,21 +91,21 @@ class Merges:
             left = left[~same & (entry != self.NONE)]
         return out
 
-    def ids(self, words: list[str]) -> list[bytes]:
-        """The ids of words without line feeds, none empty, each a whole pre-token."""
-        out: list[bytes] = []
-        for i in range(0, len(words), WORDS):
-            out += self._some(words[i : i + WORDS])
-        return out
-
-    def _some(self, words: list[str]) -> list[bytes]:
-        raw = np.frombuffer(("\n".join(words) + "\n").encode(), np.uint8)
-        ends = np.flatnonzero(raw == 10)
-        sizes = np.diff(ends, prepend=-1) - 1
+    def ids(self, words: pa.Array) -> pa.Array:
+        """The ids (little-endian) of large strings, none null or empty, each a whole pre-token."""
+        ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset :][: len(words) + 1]
+        raw = np.frombuffer(words.buffers()[2], np.uint8)
+        parts = [self._some(raw[ends[i] : ends[j]], np.diff(ends[i : j + 1])) for i in range(0, len(words), WORDS) for j in (min(i + WORDS, len(words)),)]
+        at = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(np.concatenate([n for n, _ in parts]) * 4, out=at[1:])
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(at), pa.py_buffer(np.concatenate([x for _, x in parts]))])
+
+    def _some(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of words with ``sizes`` bytes each, and the ids."""
+        ends, count = np.cumsum(sizes), len(sizes)
         sym = self.first[raw]
         sym[ends - 1] = self.last[raw[ends - 1]]
-        sym = sym[raw != 10]
-        own, starts = np.arange(len(words)), np.cumsum(sizes) - sizes
+        own, starts = np.arange(count), ends - sizes
         rank = np.full(len(sym), self.NEVER, np.int32)
         rank[:-1] = self._ranks(sym[:-1], sym[1:])
         rank[starts + sizes - 1] = self.NEVER
@@ -143,14 +141,13 @@ class Merges:
             ask = np.concatenate([new, new[new > 0] - 1])
             ask = ask[~final[ask]]
             rank[ask] = self._ranks(sym[ask], sym[ask + 1])
-        sizes, placed = np.empty(len(words), np.int64), np.empty(sum(len(s) for _, _, s in done), "<u4")
+        sizes, placed = np.empty(count, np.int64), np.empty(sum(len(s) for _, _, s in done), "<u4")
         for w, n, _ in done:
             sizes[w] = n
         starts = np.cumsum(sizes) - sizes
         for w, n, s in done:
             placed[np.repeat(starts[w] - (np.cumsum(n) - n), n) + np.arange(len(s))] = s
-        text, cuts = placed.tobytes(), (4 * starts).tolist()
-        return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+        return sizes, placed
 
 
 class Encoder:
@@ -194,32 +191,44 @@ class Encoder:
             out += [raw[a:b] for a, b in zip([0, *[x + 4 for x in ends]], [*ends, len(raw)], strict=True)]
         return out
 
-    def _letters(self, words: list[str], key: str, lead: str, front: bytes) -> list[str]:
-        """Learns pieces of letters, and marks behind them, that can be merged here; returns the others."""
-        cores = [w.rstrip(MARKS) for w in words]
-        fit = [c.isalpha() and (c.isascii() or LATIN.fullmatch(c) is not None) and len(c) <= LONGEST for c in cores]
-        rest = [w for w, f in zip(words, fit, strict=True) if not f]
-        if rest:
-            words, cores = list(compress(words, fit)), list(compress(cores, fit))
-        if not words:
+    def _known(self, pieces: pa.Array) -> pa.Array:
+        """The ids of pieces that :meth:`_learn` learns."""
+        each = pieces.to_numpy(zero_copy_only=False).tolist()
+        self._learn(set(each))
+        return pa.array([self.ids[x] for x in each], pa.large_binary())
+
+    def _distinct(self, pieces: pa.Array) -> pa.Array:
+        """The ids of distinct pieces: those of letters, and marks behind them, are merged here."""
+        if not self.merges:
+            return self._known(pieces)
+        parts = pc.extract_regex(pieces, PLAIN)
+        fit = pc.and_(pc.is_valid(parts), pc.less_equal(pc.utf8_length(parts.field("core")), LONGEST))
+        mask = fit.to_numpy(zero_copy_only=False)
+        rest = self._known(pieces.filter(pc.invert(fit)))
+        feed, core, tail = (parts.field(x).filter(fit) for x in ("feed", "core", "tail"))
+        if not len(core):
             return rest
-        tails = [w[len(c) :] for w, c in zip(words, cores, strict=True)]
         if self.merges.lower:
-            cores = "\n".join(cores).lower().split("\n")
-        each = list(set(cores))
-        ids = dict(zip(each, self.merges.ids([lead + c for c in each] if lead else each), strict=True))
-        ends = list(set(tails).difference(self.tails))
-        self.tails.update(zip(ends, self._raw(ends), strict=True))
-        found = map(add, map(ids.__getitem__, cores), map(self.tails.__getitem__, tails))
-        self.ids.update(zip([key + w for w in words], [front + x for x in found], strict=True) if key else zip(words, found, strict=True))
-        return rest
+            core = pc.utf8_lower(core)
+        behind = pc.equal(feed, "\n")
+        if self.spaced:
+            core = pc.binary_join_element_wise(pc.if_else(behind, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())), core, pa.scalar("", pa.large_string()))
+        core, tail = core.dictionary_encode(), tail.dictionary_encode()
+        if len(self.tails) > MOST:
+            self.tails = {"": b""}
+        ends = tail.dictionary.to_pylist()
+        new = [t for t in ends if t not in self.tails]
+        self.tails.update(zip(new, self._raw(new), strict=True))
+        none, kind = pa.scalar(b"", pa.large_binary()), pa.large_binary()
+        front = pc.if_else(behind, pa.scalar(self.feed, kind), none)
+        own = pc.binary_join_element_wise(front, self.merges.ids(core.dictionary).take(core.indices), pa.array([self.tails[t] for t in ends], kind).take(tail.indices), none)
+        return pa.concat_arrays([own, rest]).take(pa.array(np.where(mask, np.cumsum(mask) - 1, len(own) + np.cumsum(~mask) - 1)))
 
     def _learn(self, new: set[str]) -> None:
         todo = new.difference(self.ids)
         if len(self.ids) + len(todo) > MOST:
             self.ids.clear()
             self.odd.clear()
-            self.tails = {"": b""}
             todo = new
         starts = [w for w in todo if w[0] == "\n"]
         for key, lead, front, words in (("", " " if self.spaced else "", b"", list(todo.difference(starts))), ("\n", "", self.feed, [w[1:] for w in starts])):
@@ -228,8 +237,6 @@ class Encoder:
                 self.odd.update(key + w for w in other)
                 self.ids.update(zip([key + w for w in other], self._raw([lead + w for w in other]), strict=True))
                 words = [w for w in words if w.split() == [w]]
-            if self.merges:
-                words = self._letters(words, key, lead, front)
             for i in range(0, len(words), 16_384):
                 part = words[i : i + 16_384]
                 found = self._pieces(part, lead) if self.sep is not None else self._raw([lead + w for w in part])
@@ -237,26 +244,34 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        plain, whole, seen = [], [], set()
+        plain, cut, whole = [], [], []
         for i, t in enumerate(texts):
             if t and self.lead is not None and self.lead in t and (any(a in t for a in self.added) or self.folded and any(a in low for low in (t.lower(),) for a in self.folded)):
                 whole.append(i)  # an added token is found before the text is cut into pre-tokens
             elif t:
                 # a piece begins with a line feed if it stood behind one; the first is treated so too
-                x = ("\n" + t.replace("\n", " \n") if self.spaced else t.replace("\n", " ")).split(" ")
-                if "" in x or "\n" in x:  # blanks or line feeds that aren't single, or at an end
+                x = "\n" + t.replace("\n", " \n") if self.spaced else t.replace("\n", " ")
+                if "  " in x or x[0] == " " or x[-1] == " " or self.spaced and (x.startswith("\n ") or x.endswith(" \n") or " \n " in x):
+                    whole.append(i)  # blanks or line feeds that aren't single, or at an end
+                else:
+                    plain.append(i)
+                    cut.append(x)
+        if plain:
+            # Arrow numbers the pieces and puts their ids behind each other, so that a distinct piece is one object here
+            pieces = pc.split_pattern(pa.array(cut, pa.large_string()), " ")
+            ends, coded = pieces.offsets.to_numpy(), pieces.values.dictionary_encode()
+            ids = self._distinct(coded.dictionary).take(coded.indices)
+            at = np.frombuffer(ids.buffers()[1], np.int64)[ends]
+            odd = np.zeros(len(plain), bool)
+            if self.odd:
+                rare = pc.is_in(coded.dictionary, pa.array(list(self.odd), pa.large_string())).to_numpy(zero_copy_only=False)
+                odd = np.logical_or.reduceat(rare[coded.indices.to_numpy()], ends[:-1])
+            raw, skip = memoryview(ids.buffers()[2] or b""), len(self.feed) if self.spaced else 0
+            for i, o, lo, hi in zip(plain, odd.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if o:
                     whole.append(i)
                 else:
-                    plain.append((i, x))
-                    seen.update(x)
-        self._learn(seen)
-        odd = self.odd and self.odd & seen
-        get, skip = self.ids.__getitem__, len(self.feed) if self.spaced else 0
-        for i, x in plain:
-            if odd and not odd.isdisjoint(x):
-                whole.append(i)
-            else:
-                out[i] = b"".join(map(get, x))[skip:]
+                    out[i] = bytes(raw[lo + skip : hi])
         for i, ids in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
